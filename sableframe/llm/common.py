@@ -45,14 +45,20 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         yield batch.slice(start, n - start)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder of the session.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that `spark.checkpoint.dir` names.
 
-    The folder is `spark.checkpoint.dir`; only where that is unset (tests in
-    one process) a folder below the temporary directory is set.
+    Only where that is unset (tests in one process) a folder below the
+    temporary directory is set for the session.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        base = os.environ.get("TMPDIR", "/tmp")
-        spark.sparkContext.setCheckpointDir(f"{base}/sableframe-checkpoints-{uuid.uuid4().hex[:8]}")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = f"{os.environ.get('TMPDIR', '/tmp')}/sableframe-{uuid.uuid4().hex[:8]}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder of the session."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

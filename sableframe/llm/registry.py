@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, quality_rules
+from . import bpe, media, near_duplicates, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": packing.op1_packing,
         "op2_bpe": bpe.op2_bpe,
+        "op4_quality_knn": quality_classifier.op4_quality_knn,
         "op5_media_ogg": media.op5_media_ogg,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
