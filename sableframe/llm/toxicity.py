@@ -38,6 +38,8 @@ WORD_SLOTS, RUN_SLOTS = 1 << 14, 1 << 14
 INPUT, HIDDEN, ATTENTION = 12, 8, 8
 RUNS = (3, 4, 5)
 ROUNDS, STEPS, BATCH, RATE = 5, 90, 192, 0.01
+#: Share of words whose own vector is left out of a training step.
+DROPPED = 0.6
 FOLDS, HELD_OUT = 5, 0
 assert _BASE % 2  # has an inverse modulo 2**64
 
@@ -132,11 +134,13 @@ class Network:
         for k in ("ob", "ab", "cf", "cb"):
             self.p[k][:] = 0
 
-    def inputs(self, w: Words) -> np.ndarray:
-        """A vector for each distinct word, and zeros for padding."""
+    def inputs(self, w: Words, dropped: np.ndarray | None = None) -> np.ndarray:
+        """A vector for each distinct word, and zeros for padding; `dropped` words show their runs only."""
         out = np.zeros((len(w.hashes) + 1, INPUT), np.float32)
         if len(w.hashes):
             out[:-1] = self.p["word"][(w.hashes % np.uint64(WORD_SLOTS)).astype(np.int64)]
+            if dropped is not None:
+                out[:-1][dropped] = 0
             ends = np.cumsum(w.run_counts)
             for i in range(0, len(w.hashes), 20_000):
                 m = w.run_counts[i : i + 20_000]
@@ -182,11 +186,11 @@ class Network:
             out[a : a + 1024] = self.pooled(self.states(gates, part), part == len(w.hashes))[3]
         return out
 
-    def gradients(self, w: Words, at: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean log loss over some windows."""
+    def gradients(self, w: Words, at: np.ndarray, label: np.ndarray, dropped: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss over some windows, with some words' own vectors left out."""
         h, p, kept = HIDDEN, self.p, []
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        x = self.inputs(w)
+        x = self.inputs(w, dropped)
         states = self.states(self.gates(x), at, kept)
         inner, weight, context, logit = self.pooled(states, at == len(w.hashes))
         d = ((_sigmoid(logit) - label) / len(at)).astype(np.float32)
@@ -213,7 +217,7 @@ class Network:
             np.add.at(d_x, at[:, t], into_x @ p[f"x{side}"].T)
             carry[side] = ds * z + into_h @ p[f"h{side}"].T
         if len(w.hashes):
-            np.add.at(g["word"], (w.hashes % np.uint64(WORD_SLOTS)).astype(np.int64), d_x[:-1])
+            np.add.at(g["word"], (w.hashes % np.uint64(WORD_SLOTS)).astype(np.int64), np.where(dropped[:, None], 0, d_x[:-1]))
             np.add.at(g["run"], w.runs, np.repeat(d_x[:-1] / np.maximum(w.run_counts, 1)[:, None], w.run_counts, axis=0))
         return g
 
@@ -272,7 +276,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> Network | Non
         for _ in range(STEPS):
             some = np.concatenate([rng.choice(positives, BATCH // 3), rng.choice(negatives, BATCH - BATCH // 3)])
             part, ids = _narrowed(w, at[some])
-            adam.step(net.gradients(part, ids, labels[owner[some]].astype(np.float32)))
+            adam.step(net.gradients(part, ids, labels[owner[some]].astype(np.float32), rng.random(len(part.hashes)) < DROPPED))
         if turn + 1 < ROUNDS:
             value = net.logits(w, at)
             best = np.lexsort((np.arange(len(value)), -value, owner))[first]
