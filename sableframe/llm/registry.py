@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, near_duplicates, packing, quality_classifier, quality_rules, toxicity
+from . import bpe, lm_scoring, media, near_duplicates, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_lm_mixing": lm_scoring.op10_lm_mixing,
     }
 
 
