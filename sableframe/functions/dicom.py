@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .masking import hmac_sha256
 
@@ -41,7 +42,7 @@ def shifted_date(value: Column, days: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def uid_of_hex(digest: pd.Series) -> pd.Series:
     """2.25 and the first 128 bits as a number; 39 digits are beyond any column type."""
     return digest.map(lambda x: None if x is None else f"2.25.{int(x[:32], 16)}")

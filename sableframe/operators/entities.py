@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import compact
 
@@ -53,7 +54,8 @@ def spans(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     use = patterns or PATTERNS
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(t, safe_pattern(p)) for t, p in use.items()]
+        # The built-in patterns' repeats are kept apart by separators; only a user's are in question.
+        compiled = [(t, re.compile(p, re.IGNORECASE) if PATTERNS.get(t) == p else safe_pattern(p)) for t, p in use.items()]
         for pdf in batches:
             rows = [
                 (doc_id, t, m[0], m.start(), m.end(), "regex", None)
@@ -215,7 +217,7 @@ def bmes_spans(tags: DataFrame) -> DataFrame:
     return inside.groupBy("doc_id", "n", "type").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).drop("n")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def subsequence_share(short: pd.Series, long: pd.Series) -> pd.Series:
     """Share of the first string's letters that occur in order in the second."""
 

@@ -76,8 +76,8 @@ def stale_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transition_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Line items in order as the history of their order's state."""
-    history = _items(spark, d).select(F.col("job_id").alias("id"), F.col("l_linenumber").alias("seq"), "status")
+    """Line items in order as the history of their order's state; line numbers repeat, so the status settles ties."""
+    history = _items(spark, d).select(F.col("job_id").alias("id"), F.struct("l_linenumber", "status").alias("seq"), "status")
     return j.illegal_moves(history, j.ITEM_MOVES).groupBy("before", "status").agg(F.count("*").alias("n"))
 
 
@@ -156,7 +156,7 @@ SELECT CASE WHEN list_has_any(l, ['processing', 'pending']) THEN 'processing' WH
     "grouped_sort": "SELECT o_custkey AS group_id, o_orderdate::DATE AS created_at, o_orderkey, max(o_orderdate::DATE) OVER (PARTITION BY o_custkey) AS group_newest FROM orders",
     "trash_retention": "SELECT count(*) AS n, max(o_orderkey) AS last FROM orders WHERE o_orderdate < TIMESTAMP '1998-08-01' - INTERVAL 400 DAY",
     "stale_items": "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
-    "transition_violations": f"""WITH {_ITEMS}, h AS (SELECT status, lag(status) OVER (PARTITION BY job_id ORDER BY l_linenumber) AS before FROM items)
+    "transition_violations": f"""WITH {_ITEMS}, h AS (SELECT status, lag(status) OVER (PARTITION BY job_id ORDER BY l_linenumber, status) AS before FROM items)
 SELECT before, status, count(*) AS n FROM h WHERE before IS NOT NULL AND before != status AND NOT ({_LEGAL}) GROUP BY ALL""",
     "repaired_items": f"""WITH {_ITEMS}
 SELECT CASE WHEN status = 'processing' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'awaiting_review' ELSE 'pending' END WHEN status = 'completed' AND l_linenumber % 3 = 0 THEN 'awaiting_review'

@@ -184,10 +184,10 @@ SELECT nation, text, '<' || type || '_' || lpad(i::VARCHAR, 3, '0') || '>' AS ta
     SELECT c_nationkey::BIGINT AS nation, c_mktsegment AS type, c_name AS text, min(o_orderkey) AS first FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL))""",
     "smart_numbering": """
 SELECT user_id, event_type AS type, '[' || event_type || coalesce(['一','二','三','四','五','六','七','八','九','十'][i], i::VARCHAR) || ']' AS label FROM (
-  SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS i FROM events GROUP BY ALL)""",
+  SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS i FROM events GROUP BY user_id, event_type)""",
     "pseudonym_pool": """
 SELECT nation, text, CASE WHEN i <= 5 THEN 'Firm ' || chr(64 + i::INT) ELSE 'Firm E' || (i - 5)::VARCHAR END AS replacement FROM (
-  SELECT c_nationkey::BIGINT AS nation, c_name AS text, row_number() OVER (PARTITION BY c_nationkey ORDER BY min(c_custkey), c_name) AS i FROM customer GROUP BY ALL)""",
+  SELECT c_nationkey::BIGINT AS nation, c_name AS text, row_number() OVER (PARTITION BY c_nationkey ORDER BY min(c_custkey), c_name) AS i FROM customer GROUP BY c_nationkey, c_name)""",
     "benchmark_leaks": f"""
 SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, {_STRONG.format(x='text')} AS p FROM documents) JOIN (SELECT item_id, {_STRONG.format(x='text')} AS o FROM benchmark) ON contains(p, o) WHERE length(o) >= 4""",
     "exact_block_dedup": """
