@@ -183,6 +183,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert rows[0]["class_size"] == sum(r["class_id"] == 0 for r in rows.values())
 
 
+def test_links_of_a_class_root(spark):
+    """L leads r out of the bucket and t isn't like L: r and t are compared whichever key is the root."""
+    base = prose(31, 200)
+    words = base.split()
+    r = " ".join([*words[:-12], *(f"r{k}" for k in range(12))])
+    t = " ".join([*words[:-12], *(f"r{k}" for k in range(12))][20:])
+    idf = np.full(near_duplicates.SLOTS, 1.5, np.float32)
+    shared = spark.sparkContext.broadcast(idf)
+    for keys in ([b"\1", b"\2", b"\3"], [b"\2", b"\1", b"\3"], [b"\3", b"\2", b"\1"]):
+        texts = spark.createDataFrame(list(zip(map(bytearray, keys), (base, r, t), strict=True)), "key binary, text string")
+        pairs = near_duplicates.with_texts(spark.createDataFrame([(bytearray(keys[i]), bytearray(keys[j])) for i, j in ((0, 1), (0, 2), (1, 2))], "a binary, b binary"), texts)
+        like = {(bytes(x["a"]), bytes(x["b"])): x["similarity"] for x in near_duplicates.similarities(pairs, shared).collect()}
+        assert like[keys[0], keys[1]] >= 0.8 > like[keys[0], keys[2]] and like[keys[1], keys[2]] >= 0.8
+        members = near_duplicates.sketched(texts, shared).withColumn("bucket", F.lit(1).cast("long"))
+        found = spark.createDataFrame([(bytearray(keys[0]), bytearray(k), like[keys[0], k]) for k in keys[1:]], "a binary, b binary, similarity double")
+        roots = near_duplicates.components(found.where("similarity >= 0.8").select("a", "b"))
+        more = near_duplicates.missing_links(found, roots, members, texts, 0.8, shared).collect()
+        assert [(bytes(x["a"]), bytes(x["b"])) for x in more] == [tuple(sorted((keys[1], keys[2])))]
+
+
 def test_near_duplicates_edges(edges, nothing):
     out = near_duplicates.without_duplicates(edges)
     assert out.columns == edges.columns
