@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compact, digits_form, strong_form_ascii
+from ..functions.text import compact, digits_form, let, strong_form_ascii
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -66,22 +66,35 @@ def tiers(cells: DataFrame) -> DataFrame:
     return cells.groupBy("format").agg(t.alias("tier"), F.count_if("passed").alias("passed"), F.count("*").alias("cells"))
 
 
+#: Letters and digits of the pieces by which originals and products are joined; one in so many pieces is used, by its hash.
+GRAM, SAMPLE = 24, 8
+
+
 def leaks(originals: DataFrame, products: DataFrame, least: int = 4) -> DataFrame:
     """(doc_id, item_id) where a product's normalised text contains a normalised original.
 
     Originals of the same normalised form are compared once. The pairs are
-    limited by a shared word: an original can only be in a product that has
-    the original's longest word, so the join has a key and no cross product.
+    limited by a shared piece of the normalised form: a product that contains
+    an original has all its pieces, wherever words are broken or joined, and
+    which pieces are used depends on them alone. Originals without a used piece
+    (shorter than one, or by chance) are broadcast.
     """
-    word = F.split(F.lower(F.regexp_replace("text", "[^0-9A-Za-z]+", " ")), " +")
-    o = originals.select("item_id", strong_form_ascii(F.col("text")).alias("o"), word.alias("w")).where(F.char_length("o") >= least)
-    inner = F.when(F.size("w") > 2, F.slice("w", 2, F.size("w") - 2)).otherwise(F.col("w"))  # words at the ends may continue in the product
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.char_length(x).alias("n"), x.alias("w"))))["w"]
-    o = o.select("item_id", "o", longest.alias("word"))
-    p = products.select("doc_id", strong_form_ascii(F.col("text")).alias("p"), F.explode(F.array_distinct(word)).alias("word"))
-    keyed = p.select("doc_id", "word").join(o, "word").select("doc_id", "item_id", "o").distinct()
+    items = originals.select("item_id", strong_form_ascii(F.col("text")).alias("o")).where(F.char_length("o") >= least)
     texts = products.select("doc_id", strong_form_ascii(F.col("text")).alias("p"))
-    return keyed.join(texts, "doc_id").where(F.col("p").contains(F.col("o"))).select("doc_id", "item_id").distinct()
+
+    def pieces(form: Column) -> Column:
+        def used(raw: Column) -> Column:
+            at = F.when(F.octet_length(raw) >= GRAM, F.sequence(F.lit(1), F.octet_length(raw) - GRAM + 1))
+            return F.filter(F.transform(at, lambda i: F.xxhash64(F.substring(raw, i, F.lit(GRAM)))), lambda h: F.pmod(h, F.lit(SAMPLE)) == 0)
+
+        return let(form.cast("binary"), used)  # once for all positions; as bytes, for positions in strings are counted from the start
+
+    forms = items.select("o").distinct().select("o", F.array_min(pieces(F.col("o"))).alias("piece"))
+    own = texts.select("doc_id", F.explode(F.array_distinct(pieces(F.col("p")))).alias("piece"))
+    near = own.join(forms.where(F.col("piece").isNotNull()), "piece").select(F.col("doc_id").alias("near_id"), "o").distinct()
+    long = near.join(texts, F.col("near_id").eqNullSafe(F.col("doc_id"))).where(F.col("p").contains(F.col("o"))).select("doc_id", "o")
+    short = texts.join(F.broadcast(forms.where(F.col("piece").isNull())), F.col("p").contains(F.col("o"))).select("doc_id", "o")
+    return long.union(short).join(items, "o").select("doc_id", "item_id").distinct()
 
 
 def admitted(entries: DataFrame, types: list[str]) -> DataFrame:

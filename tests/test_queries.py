@@ -49,3 +49,21 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 150
+
+
+def test_leaks_across_broken_words(spark):
+    from sableframe.operators.evaluate import leaks
+
+    passage = "The committee published comprehensive information about foo-bar"
+    items = [(1, passage), (2, "abcd"), (3, "abc"), (4, passage.upper()), (5, "x" * 24), (6, None)]
+    docs = [
+        (1, "..the committee pub-\nlished compre hensive informa-tion aboutfoobar!"), (2, "xabcdy"), (3, passage[1:]), (4, None),
+        (None, f"a {passage} b"), (6, "ab" + "x" * 23), (6, "y" + "x" * 24), (7, "a b c d"),
+    ]
+
+    def form(x):
+        return "".join(c for c in x or "" if c.isascii() and c.isalnum()).upper()
+
+    want = {(d, i) for d, p in docs for i, o in items if len(form(o)) >= 4 and form(o) in form(p)}
+    found = leaks(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(found) == len(want) == 7 and {tuple(r) for r in found} == want
