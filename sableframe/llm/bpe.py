@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_blocks
+from .common import table, text_blocks
 
 #: The vocabulary's cutting pattern, fixed. White space is listed, since
 #: libraries differ in what \s covers.
@@ -217,7 +217,6 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
@@ -230,7 +229,6 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in v.encode_block([t or "" for t in block.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 

@@ -6,24 +6,18 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Long texts make rows large, so batches stay short.
-ARROW_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short enough for very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -62,3 +56,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder of the session."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def tree_sum(parts: DataFrame, fan: int = 64) -> DataFrame:
+    """Sums of arrays by `k`, from rows (k int, v binary of 64-bit integers) of any number of tasks.
+
+    At most `fan` rows meet at once, up to fan**4 tasks.
+    """
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(len(part["v"][0].as_buffer()) // 8, np.int64)
+        for x in part["v"]:
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"k": part["k"][:1], "part": part["part"][:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+    sums = parts.withColumn("part", F.spark_partition_id())
+    for _ in range(3):
+        sums = sums.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("k", "part").applyInArrow(add, "k int, part int, v binary")
+    return sums.groupBy("k").applyInArrow(add, "k int, part int, v binary").select("k", "v")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_blocks
+from .common import table, text_blocks
 
 #: Fixed values of the container format.
 MAGIC = b"OggS"
@@ -219,7 +219,6 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """Store each text in a container, read it back and describe it."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rows, SCHEMA)
 
 
@@ -232,7 +231,6 @@ def containers(docs: DataFrame) -> DataFrame:
             media = [mux(d + b"\0" * (-len(d) % BLOCK if d else BLOCK)) for d in data]
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stored, "doc_id long, media binary")
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table, text_blocks
+from .common import crc_mod, table, text_blocks
 
 SAMPLE_PER_CLASS = 1500
 SHAPE_TERMS, WORD_TERMS = 1024, 1024
@@ -149,7 +149,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> LatentSpace:
                 [block.column("doc_id").cast(pa.int64()), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["doc_id", "counts"]
             )
 
-    small_batches(docs.sparkSession)
     found = {r["doc_id"]: np.frombuffer(zlib.decompress(r["counts"]), np.float32) for r in picked.mapInArrow(count, "doc_id long, counts binary").collect()}
     ids = [(i, y) for i, y in rows if i in found]
     size = SHAPE_TERMS + WORD_TERMS
@@ -166,7 +165,6 @@ def scored(docs: DataFrame, space: LatentSpace) -> DataFrame:
             s = shared.value.score([t or "" for t in block.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("held_out"), pa.array(s)], names=["doc_id", "held_out", "score"])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -180,7 +178,6 @@ def accepted(docs: DataFrame, space: LatentSpace) -> DataFrame:
             s = shared.value.score([t or "" for t in block.column("text").to_pylist()])
             yield pc.filter(block, pa.array(s >= 0.5))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table, text_blocks
+from .common import crc_mod, table, text_blocks
 from .shingles import _BASE, _LOWER, _SPACE, _powers, mixed
 
 SAMPLE = {0: 3000, 1: 1500}
@@ -319,7 +319,6 @@ def scored(docs: DataFrame, net: Network | None) -> DataFrame:
             s = shared.value.score(texts) if shared.value else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("held_out"), pa.array(s)], names=["doc_id", "held_out", "score"])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
