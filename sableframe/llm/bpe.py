@@ -200,11 +200,11 @@ def vocabulary(path: str) -> Vocabulary:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def token_digests(docs: DataFrame, path: str) -> DataFrame:
+def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode and decode every text (doc_id, text): counts and digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(path or default_path())  # each worker finds its own file
         for block in text_blocks(batches, limit=1_000_000):
             ids = v.encode_block([t or "" for t in block.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
@@ -220,11 +220,11 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def token_ids(docs: DataFrame, path: str) -> DataFrame:
+def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the ids as an array, for a training set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(path or default_path())  # each worker finds its own file
         for block in text_blocks(batches, limit=1_000_000):
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in v.encode_block([t or "" for t in block.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -233,11 +233,11 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
 
 
 def default_path() -> str:
-    """The public vocabulary's file on this machine."""
+    """The public vocabulary's file on the machine that asks."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(table(spark, sf_dir, "documents"), default_path())
+    return token_digests(table(spark, sf_dir, "documents"))

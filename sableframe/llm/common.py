@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,11 +41,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that `spark.checkpoint.dir` names.
 
-    Only where that is unset (tests in one process) a folder below the
-    temporary directory is set for the session.
+    Only a session in one process (as in tests) may leave it unset: it gets a
+    folder below the temporary directory. Elsewhere that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"{os.environ.get('TMPDIR', '/tmp')}/sableframe-{uuid.uuid4().hex[:8]}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder

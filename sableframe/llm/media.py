@@ -151,10 +151,12 @@ def demux(media: bytes) -> dict[int, Stream]:
             open_parts[serial] = [*(parts or ()), media[start : start + size]]
         if done and granule < s.granule:
             raise MediaError("time runs backwards")
-        for p in done:
-            _accept(s, p)
-        if done and s.granule != granule:
+        # A page's granule position is the time at which its last whole packet ends.
+        time = granule - sum(len(p) for p in done if s.rate)
+        if done and time != s.granule:
             raise MediaError("a granule position doesn't fit its packets")
+        for p in done:
+            time = _accept(s, p, time)
         s.ended = bool(flags & LAST)
         at = end
     if open_parts or any(not s.ended for s in streams.values()):
@@ -162,16 +164,18 @@ def demux(media: bytes) -> dict[int, Stream]:
     return streams
 
 
-def _accept(s: Stream, packet: bytes) -> None:
+def _accept(s: Stream, packet: bytes, time: int) -> int:
+    """Take a packet that starts at `time`, in samples; when it ends."""
     if not s.rate:
         magic, version, index, rate, bits, channels = STREAM.unpack(packet)
         if magic != STREAM_MAGIC or version != 1 or bits != 8 or channels != 1 or not rate:
             raise MediaError("unknown kind of stream")
         s.rate, s.index = rate, index
-        return
-    s.starts.append(s.granule / s.rate)
-    s.granule += len(packet)
+        return time
+    s.starts.append(time / s.rate)
+    s.granule = time + len(packet)
     s.packets.append(packet)
+    return s.granule
 
 
 def joined(streams: dict[int, Stream]) -> bytes:

@@ -4,7 +4,11 @@ Texts longer than the largest length give full sequences of their own and a
 rest. Rests are dealt into shards of bounded size by a hash; a shard packs its
 rests, longest first, into the open bin with the least room left. If none has
 room, the bin size with the least cost for each token it can still receive is
-opened. At the end every bin shrinks to the smallest size for its contents.
+opened: a sequence has a cost of its own, beside that of its length and of its
+square, so a middle size wins while there is enough left to fill it, a small one
+when little is left, and the largest only for what needs it. At the end every
+bin shrinks to the smallest size for its contents. `sequences` joins the places
+with token ids into whole sequences and the starts of their parts.
 
 Null and empty texts have no tokens: one row with no bin and capacity 0.
 Repeated rows are packed each on its own; an empty table gives no rows. Other
@@ -19,15 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Permitted lengths, and the cost of a sequence: linear plus attention's square.
+#: Permitted lengths, and the cost of a sequence in tokens: its own, its length, and attention's square.
 CAPACITIES = (512, 1024, 2048, 4096)
-SQUARE_AT = 8192
+OWN_COST, SQUARE_AT = 512, 8192
 SHARD_ROWS = 20_000
 SCHEMA = "doc_id long, piece long, start_token long, n_tokens long, bin_id long, bin_capacity long, bin_offset long"
 
 
-def cost(capacity: int, square_at: int = SQUARE_AT) -> float:
-    return capacity * (1 + capacity / square_at)
+def cost(capacity: int, own: int = OWN_COST, square_at: int = SQUARE_AT) -> float:
+    return own + capacity * (1 + capacity / square_at)
 
 
 def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES) -> list[tuple[int, int, int]]:
@@ -100,5 +104,24 @@ def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard_rows
     return dealt.groupBy("shard").applyInArrow(fill, SCHEMA)
 
 
+def sequences(places: DataFrame, ids: DataFrame) -> DataFrame:
+    """bin_id, bin_capacity, ids, starts and doc_ids of each bin, from `packed` and ids (doc_id, ids array<int>).
+
+    `packed` must have counted these ids (tokens=F.size("ids")) and doc_id must
+    be unique in `ids`. A bin holds at most its capacity, so groups are bounded.
+    """
+    parts = places.where("bin_id IS NOT NULL").join(ids.select("doc_id", "ids"), "doc_id")
+    part = F.slice("ids", (F.col("start_token") + 1).cast("int"), F.col("n_tokens").cast("int"))
+    one = F.struct(F.col("bin_offset").cast("int").alias("start"), "doc_id", part.alias("ids"))
+    bins = parts.groupBy("bin_id", "bin_capacity").agg(F.sort_array(F.collect_list(one)).alias("parts"))
+    return bins.select(
+        "bin_id",
+        "bin_capacity",
+        F.flatten(F.col("parts.ids")).alias("ids"),
+        F.col("parts.start").alias("starts"),
+        F.col("parts.doc_id").alias("doc_ids"),
+    )
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))

@@ -127,10 +127,11 @@ class LatentSpace:
 def fit(docs: DataFrame, labels: DataFrame) -> LatentSpace:
     """From documents with a label whose id isn't in the held-out fold.
 
-    `labels` may repeat an id; its least label counts. Null labels count as none.
+    `labels` may repeat an id; its least label counts. Null ids and labels count
+    as none. Of several texts of one id the least counts.
     """
     known = (
-        labels.where(F.col("quality").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
+        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.min("quality").alias("label"))
     )
@@ -140,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> LatentSpace:
         chosen = some if chosen is None else chosen.union(some)
     rows = sorted({(r["id"], r["label"]) for r in chosen.collect()})
     # The sample is bounded, so its ids can be part of the scan's filter.
-    picked = docs.select("doc_id", "text").where(F.col("doc_id").isin([i for i, _ in rows])) if rows else docs.select("doc_id", "text").limit(0)
+    picked = docs.select("doc_id", "text").where(F.col("doc_id").isin([i for i, _ in rows]) if rows else F.lit(False))
+    picked = picked.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):

@@ -7,8 +7,7 @@ from either side; attention weighs the words' states; a logistic unit scores.
 All overlapping windows of a text are scored and the highest counts.
 
 The network is trained in numpy on a bounded sample of labelled texts
-(`SAMPLE` for each label, the first by a hash of their ids, of at most
-`SAMPLE_CHARS` characters each). A label belongs to a text, not to a
+(`SAMPLE` for each label, the first by a hash of their ids). A label belongs to a text, not to a
 window: at first the windows with the words most typical of toxic texts stand
 for a text, then those that the network scores highest, also the worst ones of
 texts that aren't toxic.
@@ -32,7 +31,6 @@ from .common import crc_mod, table, text_blocks
 from .shingles import _BASE, _LOWER, _SPACE, _powers, mixed
 
 SAMPLE = {0: 3000, 1: 1500}
-SAMPLE_CHARS = 100_000
 WINDOW, STRIDE = 24, 12
 WORD_SLOTS, RUN_SLOTS = 1 << 14, 1 << 14
 INPUT, HIDDEN, ATTENTION = 12, 8, 8
@@ -304,8 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     if not rows:
         return None
     # The sample is bounded, so its ids can be part of the scan's filter.
-    picked = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(rows)) & (F.char_length("text") <= SAMPLE_CHARS))
-    texts = sorted({(r["doc_id"], r["text"]) for r in picked.collect()})
+    picked = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(rows)))
+    texts = sorted({(r["doc_id"], r["text"] or "") for r in picked.collect()})
     return train([t for _, t in texts], np.array([rows[i] for i, _ in texts], np.int64))
 
 

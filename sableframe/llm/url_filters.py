@@ -67,14 +67,17 @@ def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     seen = captures.select("capture_id", "day", host_of(F.col("url")).alias("host"), part_of(F.col("url")).alias("part"))
     asked = seen.select("host", "part", "day").where(F.col("host").isNotNull() & F.col("day").isNotNull()).distinct()
     asked = asked.withColumn("key", F.explode(keys_of(F.col("host"), F.col("part"))))
-    active = asked.join(intervals(events), "key").where(
-        (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
-    )
+    # Intervals meet each key and day once, however many hosts lie below the key.
+    days = asked.select("key", "day").distinct()
+    listed = days.join(intervals(events), "key").where((F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
+    active = asked.join(listed.drop("valid_to"), ["key", "day"])
     verdicts = active.groupBy("host", "part", "day").agg(
         F.count("*").alias("n"), F.max(F.struct(F.char_length("key").alias("size"), "key", "valid_from")).alias("best")
     )
     verdicts = verdicts.withColumnsRenamed({c: f"of_{c}" for c in ("host", "part", "day")})
-    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in ("host", "part", "day")]
+    # Captures without a host match nothing; a key of their own keeps them from meeting in one task.
+    seen = seen.withColumn("site", F.coalesce("host", F.concat(F.lit(" "), F.xxhash64("capture_id", "day").cast("string"))))
+    same = [F.col("site") == F.col("of_host"), F.col("part").eqNullSafe(F.col("of_part")), F.col("day").eqNullSafe(F.col("of_day"))]
     return seen.join(verdicts, same, "left").select(
         "capture_id",
         "host",
