@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import operational, tabular, text, vision
+from . import catalog, operational, tabular, text, vision
 
-_MODULES = (tabular, text, operational, vision)
+_MODULES = (tabular, text, operational, vision, catalog)
 
 
 def queries() -> dict:

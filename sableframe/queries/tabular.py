@@ -56,14 +56,23 @@ def profile_customer_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def default_policy_part(spark: SparkSession, d: str) -> DataFrame:
-    part = load(spark, d, "part")
-    rows = [(x.name, x.data_type, x.entity_type, x.risk, x.confidence, x.action) for x in p.profile(part, ["p_partkey"])]
-    return spark.createDataFrame(rows, "name string, data_type string, entity_type string, risk string, confidence double, action string")
+    found = p.profile_table(load(spark, d, "part"), ["p_partkey"])
+    return found.select("name", "data_type", "entity_type", "risk", "confidence", "action", F.concat_ws("|", "reasons").alias("reasons"))
+
+
+def semantic_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of supplier after a model has found its names to be organisations."""
+    supplier = load(spark, d, "supplier")
+    profiles = p.profile_table(supplier, ["s_suppkey"])
+    samples = profiles.select(F.col("name").alias("column"), F.explode("samples").alias("value"))
+    answer = supplier.where("s_suppkey <= 6").select(F.lit("ORG").alias("type"), F.col("s_name").alias("text"))
+    answer = answer.union(supplier.where("s_suppkey <= 6").select(F.lit("PERSON"), F.col("s_name")))
+    return p.merged_semantic(profiles, p.semantic_types(answer, samples)).select("name", "entity_type", "risk", "confidence", "action", F.concat_ws("|", "reasons").alias("reasons"))
 
 
 def value_class_votes(spark: SparkSession, d: str) -> DataFrame:
-    words = load(spark, d, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("w")).where("w != ''")
-    return words.groupBy(p.value_type(F.col("w")).alias("kind")).agg(F.count("*").alias("n")).where("kind IS NOT NULL")
+    words = load(spark, d, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("w")).where("w != ''").groupBy("w").agg(F.count("*").alias("n"))
+    return words.groupBy(p.value_type(F.col("w")).alias("kind")).agg(F.sum("n").alias("n")).where("kind IS NOT NULL")
 
 
 def redacted_values_gone(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +125,7 @@ def dataset_left_joins(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        redact_customer_policy, hash_supplier_names, bucket_amounts, generalize_dates, profile_customer_columns, default_policy_part, value_class_votes,
+        redact_customer_policy, hash_supplier_names, bucket_amounts, generalize_dates, profile_customer_columns, default_policy_part, semantic_overwrite, value_class_votes,
         redacted_values_gone, policy_schema_check, fictional_ids, part_index, insert_script, key_diff, dataset_left_joins,
     )
 }
@@ -129,7 +138,71 @@ _KINDS = [(pattern.replace("(?i)", ""), kind, "(?i)" in pattern) for pattern, ki
 _KIND = "CASE " + " ".join(f"WHEN regexp_matches(§, '{pattern}'{', ' + chr(39) + 'i' + chr(39) if i else ''}) THEN '{kind}'" for pattern, kind, i in _KINDS) + " END"
 _COLUMNS = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
+def _profile_sql(table: str, key: str, columns: dict[str, str]) -> str:
+    """What p.profile_table says of columns whose names aren't technical."""
+    names = ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}', '{t}', {p.RISKS.index(k)}, {c})" for i, (x, t, k, c) in enumerate(p.NAME_RULES))
+    kinds = ", ".join(f"('{t}', {p.RISKS.index(k)}, {c})" for _, t, k, c in p.VALUE_RULES)
+    actions = " ".join(f"WHEN '{t}' THEN '{a}'" for t, a in p.ACTIONS_BY_TYPE.items())
+    blocked = ", ".join(f"'{t}'" for t in sorted(p.NOT_DESCRIPTORS))
+    one = " UNION ALL ".join(
+        f"""
+  SELECT '{c}' AS name, count(*) AS n, count({c}) AS n_values, round(count(DISTINCT trim({c}::VARCHAR)) / greatest(count({c}), 1), 4) AS u, '{kind}' AS data_type,
+    (SELECT list({_KIND.replace('§', 'v')} ORDER BY nth) FROM (SELECT {c}::VARCHAR AS v, row_number() OVER (ORDER BY {key}) AS nth FROM {table} WHERE {c} IS NOT NULL) WHERE nth <= 200) AS votes
+  FROM {table}"""
+        for c, kind in columns.items()
+    )
+    return f"""
+WITH rules(i, pattern, t, r, c) AS (VALUES {names}), kinds(t, r, c) AS (VALUES {kinds}), cols AS ({one}),
+v0 AS (SELECT name, k, count(*) AS c, min(nth) AS a, any_value(len(votes)) AS n FROM (SELECT name, votes, unnest(votes) AS k, unnest(range(len(votes))) AS nth FROM cols) WHERE k IS NOT NULL GROUP BY name, k),
+top AS (SELECT name, k, c / n AS share FROM v0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY c DESC, a) = 1),
+val AS (
+  SELECT top.name, top.k AS t, (SELECT r FROM kinds WHERE kinds.t = top.k) AS r,
+    round(least(0.99, greatest(share, (SELECT max(kinds.c) FROM kinds JOIN v0 ON v0.k = kinds.t WHERE v0.name = top.name))), 3) AS c
+  FROM top WHERE share >= {p.LEAST_SHARE}),
+nam AS (SELECT name, t, r, rules.c FROM cols JOIN rules ON regexp_matches(lower(name), pattern) QUALIFY row_number() OVER (PARTITION BY name ORDER BY i) = 1),
+sides AS (
+  SELECT cols.name, data_type, u, nam.t AS nt, val.t AS vt,
+    CASE WHEN nam.t = val.t THEN nam.t WHEN nam.t IS NULL THEN val.t WHEN val.t IS NULL THEN nam.t WHEN round(val.c, 9) >= round(nam.c + {p.NAME_LEAD}, 9) THEN val.t ELSE nam.t END AS t,
+    CASE WHEN nam.t = val.t THEN greatest(nam.r, val.r) WHEN nam.t IS NULL THEN val.r WHEN val.t IS NULL THEN nam.r WHEN round(val.c, 9) >= round(nam.c + {p.NAME_LEAD}, 9) THEN val.r ELSE nam.r END AS r,
+    CASE WHEN nam.t = val.t THEN greatest(nam.c, val.c) WHEN nam.t IS NULL THEN val.c WHEN val.t IS NULL THEN nam.c WHEN round(val.c, 9) >= round(nam.c + {p.NAME_LEAD}, 9) THEN val.c ELSE nam.c END AS c,
+    CASE WHEN nam.t = val.t THEN 'column_name|column_values' WHEN nam.t IS NULL AND val.t IS NULL THEN CASE WHEN u >= 0.98 THEN 'high_cardinality' ELSE '' END
+      WHEN nam.t IS NULL THEN 'column_values' WHEN val.t IS NULL THEN 'column_name'
+      WHEN round(val.c, 9) >= round(nam.c + {p.NAME_LEAD}, 9) THEN 'column_values|value_overrides_name' ELSE 'column_name|name_overrides_value' END AS reasons
+  FROM cols LEFT JOIN nam ON nam.name = cols.name LEFT JOIN val ON val.name = cols.name),
+flagged AS (
+  SELECT *, regexp_matches(name, '{p.DESCRIPTOR_WORDS.replace("_" + chr(92) + "-" + chr(92) + "s", "_ -")}') AND coalesce(nt NOT IN ({blocked}), true) AND coalesce(vt NOT IN ({blocked}), true) AS descriptor FROM sides)
+SELECT name, data_type, CASE WHEN descriptor THEN 'CUSTOM' ELSE coalesce(t, 'CUSTOM') END AS entity_type,
+  CASE WHEN descriptor THEN 'low' ELSE ['low', 'medium', 'high', 'critical'][coalesce(r, 0) + 1] END AS risk,
+  CASE WHEN descriptor THEN 0.84 ELSE coalesce(c, CASE WHEN u >= 0.98 THEN 0.35 ELSE 0.1 END) END::DOUBLE AS confidence,
+  CASE WHEN descriptor THEN 'keep' WHEN t = 'PERSON' THEN CASE WHEN u > 0.5 THEN 'tokenize' ELSE 'mask' END ELSE CASE t {actions} ELSE 'keep' END END AS action,
+  CASE WHEN descriptor THEN 'business_descriptor' ELSE reasons END AS reasons, u
+FROM flagged"""
+
+
+_PART = {"p_partkey": "number", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "number", "p_retailprice": "number"}
+_SUPPLIER = {"s_suppkey": "number", "s_name": "string", "s_nationkey": "number", "s_acctbal": "number"}
+_SAMPLES = " UNION ALL ".join(
+    f"""SELECT '{c}' AS name, v FROM (SELECT v, min(nth) AS a FROM (SELECT {c}::VARCHAR AS v, row_number() OVER (ORDER BY s_suppkey) AS nth FROM supplier WHERE {c} IS NOT NULL)
+  WHERE nth <= 20 GROUP BY v ORDER BY a LIMIT 8)"""
+    for c in _SUPPLIER
+)
+_DIRECT = ", ".join(f"'{t}'" for t in p.DIRECT_VALUE_TYPES)
+
 SQL = {
+    "default_policy_part": f"SELECT * EXCLUDE (u) FROM ({_profile_sql('part', 'p_partkey', _PART)})",
+    "semantic_overwrite": f"""
+WITH samples AS ({_SAMPLES}), entities AS (SELECT DISTINCT s_name AS t FROM supplier WHERE s_suppkey <= 6),
+votes AS (SELECT name, count(DISTINCT t) AS n FROM samples JOIN entities ON contains(v, t) OR (length(t) >= 4 AND contains(t, v)) GROUP BY name),
+sure AS (SELECT name, round(least(0.97, greatest(0.72, 0.62 + 0.3 * least(1.0, n / (SELECT count(*) FROM samples s WHERE s.name = votes.name)))), 3) AS s FROM votes),
+marked AS (
+  SELECT p.*, s, coalesce(s >= CASE entity_type WHEN 'PERSON' THEN {p.SAME_LEAST} WHEN 'CUSTOM' THEN {p.CUSTOM_LEAST} ELSE {p.OTHER_LEAST} END
+    AND NOT (contains(reasons, 'column_values') AND entity_type IN ({_DIRECT})), false) AS use
+  FROM ({_profile_sql('supplier', 's_suppkey', _SUPPLIER)}) p LEFT JOIN sure USING (name))
+SELECT name, CASE WHEN use THEN 'PERSON' ELSE entity_type END AS entity_type, CASE WHEN use THEN 'high' ELSE risk END AS risk,
+  CASE WHEN use THEN greatest(s, confidence) ELSE confidence END::DOUBLE AS confidence,
+  CASE WHEN use THEN CASE WHEN u > 0.5 THEN 'tokenize' ELSE 'mask' END ELSE action END AS action,
+  CASE WHEN use THEN concat_ws('|', nullif(reasons, ''), 'semantic_model', 'semantic_model_value') ELSE reasons END AS reasons
+FROM marked""",
     "redact_customer_policy": f"""
 SELECT c_custkey, 'PERSON_' || substr({_hmac("'owner:customer:c_name:' || c_name")}, 1, 12) AS c_name, NULL::VARCHAR AS c_nationkey,
   {_BUCKET.format(x='c_acctbal')} AS c_acctbal,

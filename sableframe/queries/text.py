@@ -157,16 +157,36 @@ QUERIES = {
 
 _MASK = "text"
 for _kind, _pattern in e.PATTERNS.items():
-    _MASK = f"regexp_replace({_MASK}, '{_pattern}', '<{_kind}>', 'g')"
+    _MASK = f"regexp_replace({_MASK}, '{_pattern}', '<{_kind}>', 'gi')"
 _STRONG = "upper(regexp_replace({x}, '[^0-9A-Za-z]+', '', 'g'))"
 _BARE = "regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
 for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     _BARE = f"replace({_BARE}, '{_name}', '{_char}')"
 _NUMBERED = "row_number() OVER (PARTITION BY {by} ORDER BY first, text)"
 
+# Spans by position: the text is cut at each match in turn, so offsets are sums of lengths.
+def _spans_sql(kinds: list[str]) -> str:
+    one = """
+  SELECT doc_id, '{k}' AS type, m[i] AS text, (i - 1) AS nth,
+    list_sum(list_transform(gaps[:i], lambda g: length(g)))::BIGINT + coalesce(list_sum(list_transform(m[:i - 1], lambda g: length(g))), 0)::BIGINT AS start
+  FROM (SELECT doc_id, m, gaps, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '{x}', 0, 'i') AS m, string_split_regex(text, '(?i){x}') AS gaps FROM documents) WHERE len(m) > 0)"""
+    return " UNION ALL ".join(one.format(k=k, x=e.PATTERNS[k]) for k in kinds)
+
+
 SQL = {
+    "entity_spans": f"SELECT doc_id, type, text, start, start + length(text) AS \"end\" FROM ({_spans_sql(list(e.PATTERNS))})",
+    "residual_leaks": f"""
+WITH s AS ({_spans_sql(["EMAIL", "IP_ADDRESS", "BANK_CARD", "PHONE"])}), p AS (SELECT doc_id, {_MASK} AS product FROM documents)
+SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, text FROM s) JOIN p USING (doc_id)
+WHERE text != '*' AND (contains(product, text) OR contains(regexp_replace(product, '\\s+', '', 'g'), regexp_replace(text, '\\s+', '', 'g')))""",
+    "page_of_spans": f"""
+WITH s AS ({_spans_sql(["EMAIL"])}),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS page FROM documents),
+ends AS (SELECT doc_id, page, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY page) AS past FROM lines)
+SELECT s.doc_id, s.text, s.start, min(page)::INT AS page FROM s JOIN ends ON ends.doc_id = s.doc_id AND s.start < past GROUP BY ALL""",
     "entity_counts_by_type": " UNION ALL ".join(
-        f"SELECT '{k}' AS type, sum(n)::BIGINT AS n_matches, count(*) AS n_documents FROM (SELECT len(regexp_extract_all(text, '{x}')) AS n FROM documents) WHERE n > 0 HAVING count(*) > 0"
+        f"SELECT '{k}' AS type, sum(n)::BIGINT AS n_matches, count(*) AS n_documents FROM (SELECT len(regexp_extract_all(text, '{x}', 0, 'i')) AS n FROM documents) WHERE n > 0 HAVING count(*) > 0"
         for k, x in e.PATTERNS.items()
     ),
     "overlap_anti_join": """

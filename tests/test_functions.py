@@ -67,6 +67,9 @@ def test_profile_by_name_and_value(spark):
 def test_unsafe_patterns_are_refused():
     with pytest.raises(ValueError):
         entities.safe_pattern("(a+)+b")
+    with pytest.raises(ValueError):
+        entities.safe_pattern("(a|a)*b")
+    assert entities.safe_pattern("(ab+)+c")
     assert entities.safe_pattern("a+b").search("xAAb")
 
 
@@ -103,3 +106,23 @@ def test_column_names_and_encodings():
     assert files.encoding_of("姓名".encode("gb18030")) == "gb18030" and files.encoding_of("姓名".encode()) in ("utf-8-sig", "utf-8")
     with pytest.raises(ValueError):
         files.kind_of("x.pdf")
+
+
+def test_patterns_ignore_case(spark):
+    docs = spark.createDataFrame([(1, "Password: Abcdefgh12 and HTTPS://A.com/x, Ann@EXAMPLE.com")], "doc_id long, text string")
+    assert docs.select(entities.masked_by_pattern(F.col("text"))).first()[0] == "<AUTH_SECRET> and <URL_WEBSITE> <EMAIL>"
+    counts = {r["type"]: r["n"] for r in entities.counts_by_type(docs).collect()}
+    assert counts == {"AUTH_SECRET": 1, "URL_WEBSITE": 1, "EMAIL": 1}
+    found = entities.spans(docs).groupBy("type").count().collect()
+    assert {r["type"]: r["count"] for r in found} == counts
+
+
+def test_semantic_thresholds(spark):
+    schema = "name string, entity_type string, risk string, confidence double, unique_rate double, reasons array<string>, action string"
+    rows = [("same", "ORG", "high", 0.86), ("none", "CUSTOM", "low", 0.1), ("other", "ORG", "high", 0.86), ("direct", "PHONE", "high", 0.98), ("technical", "technical_identifier", "low", 0.88)]
+    profiles = spark.createDataFrame([(*r, 1.0, ["column_values" if r[0] == "direct" else "column_name"], "keep") for r in rows], schema)
+    for sure, want in ((0.5, {"same"}), (0.55, {"same", "none"}), (0.78, {"same", "none", "other"})):
+        types = {"same": "ORG", "none": "PERSON", "other": "PERSON", "direct": "PERSON", "technical": "PERSON"}
+        model = spark.createDataFrame([(c, t, "high", sure) for c, t in types.items()], "column string, type string, risk string, confidence double")
+        out = p.merged_semantic(profiles, model).where("array_contains(reasons, 'semantic_model')").collect()
+        assert {r["name"] for r in out} == want and all(r["entity_type"] == types[r["name"]] for r in out)
