@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import ranked
+
 from ..functions.text import compact, digits_form, let, strong_form_ascii
 
 
@@ -39,9 +41,21 @@ def confusions(truth: DataFrame, found: DataFrame, most: int = 10) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean, greatest, sum and exact percentiles with linear interpolation."""
-    out = [F.avg(value).alias("mean"), F.max(value).alias("max"), F.sum(value).alias("total")]
-    return df.groupBy(*by).agg(*out, *(F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in shares))
+    """Mean, greatest, sum and exact percentiles with linear interpolation at (n - 1) p; by ranks, so a group of any size will do."""
+    keys = list(by)
+    rows = ranked(df.select(*keys, value).where(F.col(value).isNotNull()), keys, [F.col(value)], "_rank")
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.sum(value).alias("total"))
+    sizes = sizes.select(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(keys)), "_n", "mean", "max", "total")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_by{i}"))
+    out, place = [], F.col("_rank") - 1
+    for p in shares:
+        at = (F.col("_n") - 1) * F.lit(p)
+        low, high = (F.max(F.when(place == f(at), F.col(value))) for f in (F.floor, F.ceil))
+        out.append((low + (high - low) * F.first(at - F.floor(at))).alias(f"p{round(p * 100)}"))
+    figures = [F.first(c).alias(c) for c in ("mean", "max", "total")]
+    return rows.join(F.broadcast(sizes) if not keys else sizes, same).groupBy(*keys).agg(*figures, *out)
 
 
 def throughput(pages: DataFrame, warm_up: int = 1) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import ranked, running_sum
+
 # The states and the moves between them.
 JOB_MOVES = {
     "draft": ("queued", "processing", "cancelled"),
@@ -129,8 +131,7 @@ def newest_groups_first(files: DataFrame) -> DataFrame:
 
 def schedule(tasks: DataFrame) -> DataFrame:
     """Adds `place`: by class, priority, work units and order of arrival."""
-    w = Window.orderBy("task_class", "priority", "work_units", "seq")
-    return tasks.withColumn("place", F.row_number().over(w))
+    return ranked(tasks, [], [F.col(c) for c in ("task_class", "priority", "work_units", "seq")], "place")
 
 
 def stale(items: DataFrame, cutoff: Column) -> DataFrame:
@@ -202,21 +203,26 @@ def audit_search(events: DataFrame, user: str | None = None, action: str | None
 def volumes(files: DataFrame, max_files: int = 1000, max_bytes: int = 2 << 30, group: str = "job_id") -> DataFrame:
     """Adds `volume`: files in order (pos, n_bytes) fill a volume until the next would exceed a cap.
 
-    The fold depends on all before, so it is one aggregate over a job's sizes;
-    jobs are spread over the cluster.
+    Where a volume starts depends on all before, so it is one fold over a job's
+    positions and sizes (16 bytes a file); it only keeps the starts, and the
+    volumes of all files are a running count of them.
     """
-    start = F.struct(F.lit(0).cast("long").alias("volume"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("b"), F.array().cast("array<struct<pos:bigint,volume:bigint>>").alias("out"))
+    long = lambda x: F.lit(x).cast("long")
+    start = F.struct(long(0).alias("n"), long(0).alias("b"), F.array().cast("array<bigint>").alias("starts"))
 
     def step(a: Column, x: Column) -> Column:
-        full = (a["n"] > 0) & ((a["n"] + 1 > max_files) | (a["b"] + x["n_bytes"] > max_bytes))
-        v = F.when(full | (a["volume"] == 0), a["volume"] + 1).otherwise(a["volume"])
+        new = (a["n"] == 0) | (a["n"] + 1 > max_files) | (a["b"] + x["n_bytes"] > max_bytes)
         return F.struct(
-            v.alias("volume"), F.when(full, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), F.when(full, x["n_bytes"]).otherwise(a["b"] + x["n_bytes"]).alias("b"),
-            F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), v.alias("volume")))).alias("out"),
-        )
-
-    sized = files.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("n_bytes").cast("long").alias("n_bytes")))).alias("f"))
-    return sized.select(group, F.explode(F.aggregate("f", start, step)["out"]).alias("o")).select(group, "o.pos", "o.volume")
+            F.when(new, long(1)).otherwise(a["n"] + 1).alias("n"),
+            F.when(new, x["n_bytes"]).otherwise(a["b"] + x["n_bytes"]).alias("b"),
+            F.when(new, F.array_append(a["starts"], x["pos"])).otherwise(a["starts"]).alias("starts"),
+        )
+
+    f = files.select(group, F.col("pos").cast("long").alias("pos"), F.col("n_bytes").cast("long").alias("n_bytes"))
+    sizes = f.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pos", "n_bytes"))).alias("f"))
+    starts = sizes.select(group, F.explode(F.aggregate("f", start, step)["starts"]).alias("pos")).withColumn("first", F.lit(1))
+    marked = f.join(starts, [group, "pos"], "left")
+    return running_sum(marked, [group], [F.col("pos")], F.coalesce("first", F.lit(0)).cast("long"), "volume").select(group, "pos", "volume")
 
 
 def archive_names(files: DataFrame) -> DataFrame:

@@ -38,9 +38,19 @@ def column_names(names: list[str | None]) -> list[str]:
 
 
 def _head(spark: SparkSession, path: str, size: int) -> bytes:
-    """The first bytes, by Spark's own reader, so that any store works."""
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("b")).orderBy("b").limit(1).collect()
-    return bytes(rows[0]["b"]) if rows else b""
+    """The first bytes of a file, or of a folder's first file, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(place).isDirectory():
+        inside = sorted((f.getPath() for f in files.listStatus(place) if f.isFile() and not f.getPath().getName().startswith(("_", "."))), key=lambda p: p.getName())
+        if not inside:
+            return b""
+        place = inside[0]
+    stream = files.open(place)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
 
 
 def encoding_of(head: bytes) -> str:
@@ -59,28 +69,47 @@ def separator_of(line: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings by position; duplicate and blank headers get names of their own."""
+    """All columns as strings by position; duplicate and blank headers get names of their own.
+
+    A file is split among tasks unless a line has an open quotation, which only a
+    value with a line end in it leaves.
+    """
     head = _head(spark, path, 8192)
     encoding = encoding_of(head)
     sep = separator_of(head.decode(encoding, "replace").split("\n", 1)[0])
-    options = {"sep": sep, "encoding": "UTF-8" if encoding.startswith("utf-8") else encoding, "multiLine": True, "escape": '"', "inferSchema": False, "enforceSchema": True}
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    several = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    # Spark reads few encodings itself. In the others a separator, a quotation mark or a line end is the one
+    # byte it is in ASCII, so the bytes are read as Latin letters and decoded value by value.
+    plain = encoding.startswith("utf-8")
+    options = {"sep": sep, "encoding": "UTF-8" if plain else "ISO-8859-1", "multiLine": several, "escape": '"', "inferSchema": False, "enforceSchema": True}
     first = spark.read.options(**options, header=False).csv(path).limit(1).collect()
-    names = column_names([(x or "").lstrip("﻿") for x in first[0]]) if first else ["column_1"]
+    header = [x if plain or x is None else x.encode("latin-1").decode(encoding, "replace") for x in first[0]] if first else []
+    names = column_names([(x or "").lstrip("\ufeff") for x in header]) or ["column_1"]
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    return spark.read.options(**options, header=True).schema(schema).csv(path)
+    df = spark.read.options(**options, header=True).schema(schema).csv(path)
+    if plain or encoding == "latin-1":
+        return df
+    decoded = F.pandas_udf(lambda v: v.str.encode("latin-1").str.decode(encoding, "replace"), "string")
+    return df.select(*(decoded(F.col(f"`{n}`")).alias(n) for n in names))
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Columns in the order in which their keys first appear; other lines than objects go to `value`.
+def read_jsonl(spark: SparkSession, path: str, probe_rows: int | None = None) -> DataFrame:
+    """Columns in the order in which their keys first appear; other values than objects go to `value`, blank lines are skipped.
 
-    All keys of the file count, also those that appear late.
+    All keys of the file count, also those that appear late, unless `probe_rows`
+    names how many lines set the columns. A line that isn't JSON is an error.
     """
     lines = spark.read.text(path).where("trim(value) != ''").withColumn("at", F.monotonically_increasing_id())
+    bad = lines.where(F.try_parse_json("value").isNull()).limit(1).collect()
+    if bad:
+        raise ValueError(f"{path}: a line isn't JSON: {bad[0]['value'][:80]!r}")
     tree = lines.select("at", F.try_parse_json("value").alias("j"), "value")
     obj = F.schema_of_variant("j").startswith("OBJECT")
-    keys = lines.select("at", F.posexplode(F.when(F.try_parse_json("value").isNotNull(), F.json_object_keys("value"))).alias("k", "key"))
+    probe = lines.limit(probe_rows) if probe_rows else lines
+    keys = probe.select("at", F.posexplode(F.json_object_keys("value")).alias("k", "key"))
     order = [r["key"] for r in keys.groupBy("key").agg(F.min(F.struct("at", "k")).alias("first")).orderBy("first").collect()]
-    scalars = tree.where(F.col("j").isNotNull() & ~obj).limit(1).count() > 0
+    scalars = tree.where(~obj).limit(1).count() > 0
     as_object = F.when(obj, F.col("value")).otherwise(F.to_json(F.struct(F.col("j").try_cast("string").alias("value"))))
     names = order + (["value"] if scalars and "value" not in order else [])
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
@@ -88,7 +117,7 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 class SqliteSource(DataSource):
-    """Tables of a SQLite file; options: path, table. Row ids are dealt into ranges, one for each partition."""
+    """Tables of a SQLite file that all executors can open; options: path, table. Row ids are dealt into ranges, one for each partition."""
 
     @classmethod
     def name(cls) -> str:
@@ -109,15 +138,24 @@ class _SqliteReader(DataSourceReader):
         self.path, self.table, self.parts = options["path"], options["table"], int(options.get("partitions", 4))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(self.parts)]
+        """Ranges of row ids between the least and the greatest; one part for what has no row ids."""
+        with sqlite3.connect(self.path) as con:
+            try:
+                low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+            except sqlite3.OperationalError:  # a view, or a table WITHOUT ROWID
+                return [InputPartition(None)]
+        if not isinstance(low, int):
+            return [InputPartition(None)]
+        step = -(-(high - low + 1) // self.parts)
+        return [InputPartition((a, min(a + step - 1, high))) for a in range(low, high + 1, step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with sqlite3.connect(self.path) as con:
             table = _quoted(self.table)
-            if con.execute("SELECT type FROM sqlite_master WHERE name = ?", (self.table,)).fetchone() == ("view",):
-                yield from con.execute(f"SELECT * FROM {table}") if partition.value == 0 else ()
+            if partition.value is None:
+                yield from con.execute(f"SELECT * FROM {table}")
             else:
-                yield from con.execute(f"SELECT * FROM {table} WHERE rowid % ? = ?", (self.parts, partition.value))
+                yield from con.execute(f"SELECT * FROM {table} WHERE rowid BETWEEN ? AND ?", partition.value)
 
 
 def _quoted(name: str) -> str:

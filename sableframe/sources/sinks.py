@@ -3,24 +3,41 @@
 from __future__ import annotations
 
 import sqlite3
+import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import quoted_name, sql_literal, trimmed
+from ..operators.running import ranked
 
 MAX_ROWS, PART_ROWS = 5_000_000, 50_000
 
 
 def write_csv(df: DataFrame, path: str, rows_per_part: int = PART_ROWS, max_rows: int = MAX_ROWS) -> dict[str, int]:
-    """CSV parts with headers. Too many rows fail before anything is written; the commit is Spark's, so it is all or nothing."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows; at most {max_rows} can be exported")
-    seen = Observation()
-    flat = df.select(*(c if t == "string" or not t.startswith(("array", "map", "struct")) else F.to_json(c).alias(c) for c, t in df.dtypes))
-    flat.observe(seen, F.count("*").alias("rows")).write.option("maxRecordsPerFile", rows_per_part).csv(path, header=True, mode="errorifexists")
-    return {"rows": seen.get["rows"], "columns": len(df.columns), "parts": -(-n // rows_per_part)}
+    """CSV parts, each with a byte order mark and a header, of at most `rows_per_part` rows.
+
+    Rows are counted while they are written, beside `path`; only a whole table
+    within `max_rows` moves there, so an error leaves nothing behind. `parts` counts the files.
+    """
+    spark, seen = df.sparkSession, Observation()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(path)
+    flat = df.select(*(F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes))
+    flat = flat.observe(seen, F.count("*").alias("rows")).withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.writing-{uuid.uuid4().hex[:8]}")
+    try:
+        flat.write.option("maxRecordsPerFile", rows_per_part).csv(beside.toString(), header=True)
+        n = seen.get["rows"]
+        if n > max_rows:
+            raise ValueError(f"{n} rows; at most {max_rows} can be exported")
+        parts = sum(f.getPath().getName().startswith("part-") for f in files.listStatus(beside))
+        files.rename(beside, target)
+    finally:
+        files.delete(beside, True)
+    return {"rows": n, "columns": len(df.columns), "parts": parts}
 
 
 def insert_statements(df: DataFrame, table: str) -> DataFrame:
@@ -60,8 +77,7 @@ def _insert(con: sqlite3.Connection, table: str, rows: list[tuple]) -> int:
 
 def part_numbers(df: DataFrame, order: list[Column], by: list[str], cap: int = PART_ROWS) -> DataFrame:
     """Adds `part`: rows of each group in order, `cap` to a part, from 1."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("part", F.ceil(F.row_number().over(w) / cap).cast("long"))
+    return ranked(df, by, order, "part").withColumn("part", F.ceil(F.col("part") / cap).cast("long"))
 
 
 def unique_name(name: str, taken: list[str], short_id: str) -> str:
