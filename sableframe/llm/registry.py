@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, lm_scoring, media, near_duplicates, packing, quality_classifier, quality_rules, toxicity, url_filters
+from . import bpe, hard_negatives, license_scan, lm_scoring, media, near_duplicates, packing, quality_classifier, quality_rules, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_lm_mixing": lm_scoring.op10_lm_mixing,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filters": url_filters.ORACLE,
         "op7_license_scan": license_scan.oracle(),
         "op9_quality_rules": quality_rules.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE,
     }
