@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hard_negatives, license_scan, lm_scoring, media, mixing, near_duplicates, packing, quality_classifier, quality_rules, toxicity, url_filters
+from . import bpe, hard_negatives, license_scan, lm_scoring, media, mixing, near_duplicates, packing, phrases, quality_classifier, quality_rules, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_lm_mixing": lm_scoring.op10_lm_mixing,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_phrases": phrases.op12_phrases,
         "op13_mixing": mixing.op13_mixing,
     }
 
@@ -32,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_scan": license_scan.oracle(),
         "op9_quality_rules": quality_rules.ORACLE,
         "op11_hard_negatives": hard_negatives.ORACLE,
+        "op12_phrases": phrases.ORACLE,
         "op13_mixing": mixing.ORACLE,
     }
