@@ -45,8 +45,10 @@ def trim_edges(x: Column, chars: str = ",.;:，。；：、\"'()（）[]【】<>
 
 
 def amount_signature(x: Column) -> Column:
-    """Digits of an amount; two zeros right after the decimal sign don't count."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"[.．]00(?!\d)", ""), r"\D", "")
+    """Digits of an amount; two last zeros right after a decimal sign don't count if other digits are left."""
+    x = F.coalesce(x, F.lit(""))
+    digits = F.regexp_replace(x, r"\D", "")
+    return F.when(x.rlike(r"[.．,，]00\D*$") & (F.char_length(digits) > 2), F.regexp_replace(digits, "00$", "")).otherwise(digits)
 
 
 def without_math_markup(x: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, operational, tabular, text, vision
+from . import catalog, layout, operational, tabular, text, vision
 
-_MODULES = (tabular, text, operational, vision, catalog)
+_MODULES = (tabular, text, operational, vision, catalog, layout)
 
 
 def queries() -> dict:
