@@ -36,7 +36,7 @@ from .perfect_hash import PerfectHash, spread
 #: Words of a phrase at most, its least count, the share of a longer phrase that replaces it (percent), rows of a language, and the scale of scores.
 LONGEST, LEAST, COVERED, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
 #: Bytes of text in a block, words for each shard, and blocks whose keys one mapper counts.
-BLOCK, SHARD_WORDS, MAPPER_BLOCKS = 16_000_000, 2_000_000, 64
+BLOCK, SHARD_WORDS, MAPPER_BLOCKS = 4_000_000, 2_000_000, 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BREAK, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -98,6 +98,7 @@ class Phrases:
         self.blocks, self.words, self.frequent = corpus.count(), sums.agg(F.sum("f")).first()[0] or 0, self.vocabulary.count()
         self.shards, self.salts = max(1, -(-self.words // shard_words)), max(1, -(-self.blocks // MAPPER_BLOCKS))
         self.bits = max(1, int(self.frequent).bit_length())
+        self.kind = np.dtype(np.int32 if self.frequent < 2**31 else np.int64)
         numbers = words.drop("n").join(self.vocabulary.drop("f"), ["lang", "word"]).groupBy("block").agg(F.collect_list("code").alias("code"), F.collect_list("number").alias("number"))
         here = self.stored(self._numbered(corpus.select("block", "codes"), numbers))
         self.levels: dict[int, DataFrame] = {}
@@ -113,6 +114,7 @@ class Phrases:
 
     def _numbered(self, corpus: DataFrame, numbers: DataFrame) -> DataFrame:
         """block, words and here: the number of each position's word, -1 for rare words and ends of pieces."""
+        kind = self.kind
 
         def one(codes: pa.Table, known: pa.Table) -> pa.Table:
             rows = []
@@ -121,17 +123,17 @@ class Phrases:
                 number = np.full(int(own.max()) + 2, -1, np.int64)
                 for code, value in zip(known["code"].combine_chunks(), known["number"].combine_chunks(), strict=True):
                     number[code.values.to_numpy(zero_copy_only=False)] = value.values.to_numpy(zero_copy_only=False)
-                rows.append((block, number[own].tobytes()))
-            return _table({"block": pa.int64(), "words": pa.binary(), "here": pa.binary()}, [(b, x, x) for b, x in rows])
+                rows.append((block, number[own].astype(kind).tobytes(), number[own].tobytes()))
+            return _table({"block": pa.int64(), "words": pa.binary(), "here": pa.binary()}, rows)
 
         return _met(corpus, numbers, ["block"], one, "block long, words binary, here binary")
 
     def _level(self, m: int, here: DataFrame) -> DataFrame:
         """Counts the phrases of `m` words; `here` with the numbers of the frequent ones."""
-        bits, shards, salts, least = self.bits, self.shards, self.salts, self.least
+        bits, shards, salts, least, kind = self.bits, self.shards, self.salts, self.least, self.kind
 
         def keys_at(words: bytes, now: bytes) -> tuple[np.ndarray, np.ndarray]:
-            words, now = np.frombuffer(words, np.int64), np.frombuffer(now, np.int64)
+            words, now = np.frombuffer(words, kind), np.frombuffer(now, np.int64)
             at = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0)) if len(now) > 1 else np.zeros(0, np.int64)
             return at, (now[at] << bits) | words[at + m - 1]
 
@@ -175,7 +177,7 @@ class Phrases:
             order = np.argsort(keys)
             for block, words, now in zip(*(rows[c].to_pylist() for c in ("block", "words", "here")), strict=True):
                 at, asked = keys_at(words, now)
-                then = np.full(len(words) // 8, -1, np.int64)
+                then = np.full(len(now) // 8, -1, np.int64)
                 if len(keys) and len(at):
                     i = np.minimum(np.searchsorted(keys[order], asked), len(keys) - 1)
                     then[at] = np.where(keys[order][i] == asked, numbers[order][i], -1)
