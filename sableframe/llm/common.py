@@ -59,6 +59,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def tree_sum(parts: DataFrame, fan: int = 64) -> DataFrame:
     """Sums of arrays by `k`, from rows (k int, v binary of 64-bit integers) of any number of tasks.
 

@@ -2,14 +2,15 @@
 
 Texts become arrays of word numbers, a block and language a row. Level by level,
 a phrase of m words is a candidate if both its parts of m - 1 words are frequent
-(the Apriori rule loses none). The distinct candidates of a block are dealt into
-shards by their key; a shard's keys get a minimal perfect hash that stores them,
-mappers look their keys up, add counts into arrays by slot, and the arrays are
-summed in a tree. A key is the number of the first m - 1 words and the last
-word's in 64 bits, so it is exact; frequent slots are numbered for the next
-level. Shards follow the number of words, so neither a hash nor a group grows
-with the corpus, and nothing is broadcast by this module. Parts of a cut are
-read by slot from the level's shards.
+(the Apriori rule loses none). The distinct candidates of a block, counted, are
+dealt into shards by their key, once. A shard's keys get a minimal perfect hash
+that stores them; its blocks' counts are added into arrays by slot, some blocks
+an array, and the arrays summed in a tree. A key is the number of the first
+m - 1 words and the last word's in 64 bits, so it is exact; frequent slots are
+numbered for the next level. Shards follow the number of words, so neither a
+hash nor a group grows with the corpus. Only a vocabulary of at most
+`BROADCAST_WORDS` is broadcast. Parts of a cut are read by slot from the level's
+shards.
 
 Null texts count as empty, a null language as `und`. Repeated rows count each
 time. Ties of scores go by the count, then by the phrase. Long texts are blocks
@@ -30,19 +31,28 @@ from pyspark.sql import functions as F
 
 from sableframe.operators.running import ranked
 
-from .common import checkpoint_folder, table, text_blocks, tree_sum
+from .common import checkpoint_folder, removed, table, text_blocks
 from .perfect_hash import PerfectHash, spread
 
 #: Words of a phrase at most, its least count, the share of a longer phrase that replaces it (percent), rows of a language, and the scale of scores.
 LONGEST, LEAST, COVERED, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
-#: Bytes of text in a block, words for each shard, and blocks whose keys one mapper counts.
-BLOCK, SHARD_WORDS, MAPPER_BLOCKS = 4_000_000, 2_000_000, 256
+#: Bytes of text in a block, words for each shard, blocks counted into one array, and the largest vocabulary that is broadcast.
+BLOCK, SHARD_WORDS, ARRAY_BLOCKS, BROADCAST_WORDS = 4_000_000, 2_000_000, 64, 500_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BREAK, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 BLANK[list(b" \t")] = True
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes, first bytes first, so that what is all 0 or -1 stands together and compresses away."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel().astype(np.int64)
+
+
 def word_codes(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     """Codes of the words in order, -1 where a piece ends, and the words by code."""
     joined = b"\n".join([b"", *texts, b""]).translate(LOWER)
@@ -73,7 +83,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(codes):
                 counts = np.bincount(codes[codes >= 0], minlength=len(words)).astype(np.int64)
                 ends = pa.array([0, len(words)], pa.int32())
-                row = {"lang": [lang], "codes": pa.array([codes.tobytes()], pa.binary()), "words": pa.ListArray.from_arrays(ends, words), "counts": pa.ListArray.from_arrays(ends, counts)}
+                row = {"lang": [lang], "codes": pa.array([packed(codes)], pa.binary()), "words": pa.ListArray.from_arrays(ends, words), "counts": pa.ListArray.from_arrays(ends, counts)}
                 yield pa.RecordBatch.from_pydict(row)
 
 
@@ -95,12 +105,14 @@ class Phrases:
         sums = self.stored(words.groupBy("lang", "word").agg(F.sum("n").cast("long").alias("f")))
         self.totals = sums.groupBy("lang").agg(F.sum("f").cast("long").alias("n"))
         self.vocabulary = self.stored(ranked(sums.where(F.col("f") >= least), [], [F.col("lang").asc(), F.col("word").asc()], "number"))
-        self.blocks, self.words, self.frequent = corpus.count(), sums.agg(F.sum("f")).first()[0] or 0, self.vocabulary.count()
-        self.shards, self.salts = max(1, -(-self.words // shard_words)), max(1, -(-self.blocks // MAPPER_BLOCKS))
+        self.words, self.frequent = sums.agg(F.sum("f")).first()[0] or 0, self.vocabulary.count()
+        self.shards = max(1, -(-self.words // shard_words))
         self.bits = max(1, int(self.frequent).bit_length())
-        self.kind = np.dtype(np.int32 if self.frequent < 2**31 else np.int64)
-        numbers = words.drop("n").join(self.vocabulary.drop("f"), ["lang", "word"]).groupBy("block").agg(F.collect_list("code").alias("code"), F.collect_list("number").alias("number"))
-        here = self.stored(self._numbered(corpus.select("block", "codes"), numbers))
+        known = self.vocabulary.drop("f")
+        numbers = words.drop("n").join(F.broadcast(known) if self.frequent <= BROADCAST_WORDS else known, ["lang", "word"])
+        numbers = numbers.groupBy("block").agg(F.collect_list("code").alias("code"), F.collect_list("number").alias("number"))
+        here = self.stored(_met(corpus.select("block", "codes"), numbers, ["block"], _numbered, "block long, words binary, here binary"))
+        self.dropped(corpus)
         self.levels: dict[int, DataFrame] = {}
         self.found: dict[int, DataFrame] = {}
         for m in range(2, longest + 1):
@@ -109,31 +121,21 @@ class Phrases:
     def stored(self, df: DataFrame) -> DataFrame:
         """The table as written to the shared folder."""
         self.kept += 1
-        df.write.parquet(f"{self.folder}/{self.kept}")
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{self.kept}")
         return self.spark.read.parquet(f"{self.folder}/{self.kept}")
 
-    def _numbered(self, corpus: DataFrame, numbers: DataFrame) -> DataFrame:
-        """block, words and here: the number of each position's word, -1 for rare words and ends of pieces."""
-        kind = self.kind
-
-        def one(codes: pa.Table, known: pa.Table) -> pa.Table:
-            rows = []
-            for block, own in zip(codes["block"].to_pylist(), codes["codes"].to_pylist(), strict=True):
-                own = np.frombuffer(own, np.int32)
-                number = np.full(int(own.max()) + 2, -1, np.int64)
-                for code, value in zip(known["code"].combine_chunks(), known["number"].combine_chunks(), strict=True):
-                    number[code.values.to_numpy(zero_copy_only=False)] = value.values.to_numpy(zero_copy_only=False)
-                rows.append((block, number[own].astype(kind).tobytes(), number[own].tobytes()))
-            return _table({"block": pa.int64(), "words": pa.binary(), "here": pa.binary()}, rows)
-
-        return _met(corpus, numbers, ["block"], one, "block long, words binary, here binary")
+    def dropped(self, df: DataFrame) -> None:
+        """Remove a stored table that nothing reads any more."""
+        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            removed(self.spark, path)
 
     def _level(self, m: int, here: DataFrame) -> DataFrame:
         """Counts the phrases of `m` words; `here` with the numbers of the frequent ones."""
-        bits, shards, salts, least, kind = self.bits, self.shards, self.salts, self.least, self.kind
+        bits, shards, least, more = self.bits, self.shards, self.least, m < self.longest
 
         def keys_at(words: bytes, now: bytes) -> tuple[np.ndarray, np.ndarray]:
-            words, now = np.frombuffer(words, kind), np.frombuffer(now, np.int64)
+            words = unpacked(words)
+            now = unpacked(now) if now else words
             at = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0)) if len(now) > 1 else np.zeros(0, np.int64)
             return at, (now[at] << bits) | words[at + m - 1]
 
@@ -144,73 +146,65 @@ class Phrases:
                     shard = (spread(keys, 99) % np.uint64(shards)).astype(np.int64)
                     order = np.argsort(shard, kind="stable")
                     keys, n, edges = keys[order], n[order], np.searchsorted(shard[order], np.arange(shards + 1))
-                    rows = [(s, block % salts, block, keys[a:b].tobytes(), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
-                    kinds = {"shard": pa.int64(), "salt": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "n": pa.binary()}
-                    yield from _table(kinds, rows).to_batches()
-
-        def hashed(shard: pa.Table) -> pa.Table:
-            made = PerfectHash.of(np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in shard["keys"].to_pylist()])))
-            return pa.table({"shard": shard["shard"][:1], **{k: pa.array([v], t) for (k, v), t in zip(made.to_columns().items(), (pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)}})
-
-        def counted(seen: pa.Table, shard: pa.Table) -> pa.Table:
-            own = PerfectHash.from_columns(shard.to_pylist()[0])
-            total = np.zeros(len(own.keys), np.int64)
-            for keys, n in zip(seen["keys"].to_pylist(), seen["n"].to_pylist(), strict=True):
-                slots = own.slots(np.frombuffer(keys, np.int64))
-                total += np.bincount(slots[slots >= 0], np.frombuffer(n, np.int64)[slots >= 0], len(total)).astype(np.int64)
-            return pa.table({"k": shard["shard"][:1].cast(pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
-
-        def numbered(seen: pa.Table, shard: pa.Table) -> pa.Table:
-            rows = []
-            for row in shard.to_pylist():
-                own, f = PerfectHash.from_columns(row), np.frombuffer(row["f"], np.int64)
-                number = np.where(f >= least, np.cumsum(f >= least) - 1 + row["base"], -1)
-                for block, keys in zip(seen["block"].to_pylist(), seen["keys"].to_pylist(), strict=True):
-                    keys = np.frombuffer(keys, np.int64)
-                    got = number[own.slots(keys)]
-                    rows.append((block, keys[got >= 0].tobytes(), got[got >= 0].tobytes()))
-            return _table({"block": pa.int64(), "keys": pa.binary(), "number": pa.binary()}, rows)
+                    rows = [(s, block, packed(np.diff(keys[a:b], prepend=0)), packed(n[a:b])) for s, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
+                    yield from _table({"shard": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "n": pa.binary()}, rows).to_batches()
+
+        def counted(shard: pa.Table) -> pa.Table:
+            number = shard["shard"][0].as_py()
+            seen = [np.cumsum(unpacked(x)) for x in shard["keys"].to_pylist()]
+            own = PerfectHash.of(np.unique(np.concatenate(seen)))
+            slots = [own.slots(keys) for keys in seen]
+            times = [unpacked(x) for x in shard["n"].to_pylist()]
+            arrays = []
+            for at in range(0, len(slots), ARRAY_BLOCKS):
+                some = np.concatenate(slots[at : at + ARRAY_BLOCKS])
+                arrays.append(np.bincount(some, np.concatenate(times[at : at + ARRAY_BLOCKS]), len(own.keys)).astype(np.int64))
+            while len(arrays) > 1:
+                arrays = [sum(arrays[k : k + 2]) for k in range(0, len(arrays), 2)]
+            f = arrays[0]
+            rank = np.where(f >= least, (np.cumsum(f >= least) - 1) * shards + number, -1)
+            rows = [(number, own.sizes, np.packbits(own.bits).tobytes(), packed(own.keys), packed(f), int((f >= least).sum()), None, None, None)]
+            for block, keys, slot in zip(shard["block"].to_pylist(), seen, slots, strict=True) if more else ():
+                got = rank[slot] >= 0
+                rows.append((number, None, None, None, None, None, block, packed(np.diff(keys[got], prepend=0)), packed(rank[slot[got]])))
+            return _table(kinds, rows)
 
         def placed(rows: pa.Table, known: pa.Table) -> pa.Table:
             out = []
-            keys, numbers = (np.frombuffer(b"".join(known[c].to_pylist()), np.int64) for c in ("keys", "number"))
+            keys = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpacked(x)) for x in known["seen"].to_pylist())])
+            numbers = np.concatenate([np.zeros(0, np.int64), *(unpacked(x) for x in known["number"].to_pylist())])
             order = np.argsort(keys)
+            keys, numbers = keys[order], numbers[order]
             for block, words, now in zip(*(rows[c].to_pylist() for c in ("block", "words", "here")), strict=True):
                 at, asked = keys_at(words, now)
-                then = np.full(len(now) // 8, -1, np.int64)
+                then = np.full(len(unpacked(words)), -1, np.int64)
                 if len(keys) and len(at):
-                    i = np.minimum(np.searchsorted(keys[order], asked), len(keys) - 1)
-                    then[at] = np.where(keys[order][i] == asked, numbers[order][i], -1)
-                out.append((block, words, then.tobytes()))
+                    i = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                    then[at] = np.where(keys[i] == asked, numbers[i], -1)
+                out.append((block, words, packed(then)))
             return _table({"block": pa.int64(), "words": pa.binary(), "here": pa.binary()}, out)
 
-        seen = self.stored(here.mapInArrow(dealt, "shard long, salt long, block long, keys binary, n binary").repartition("shard", "salt"))
-        hashes = self.stored(seen.groupBy("shard").applyInArrow(hashed, "shard long, sizes array<long>, bits binary, keys binary"))
-        each = hashes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        arrays = _met(seen, each, ["shard", "salt"], _when_both(counted, {"k": pa.int32(), "v": pa.binary()}), "k int, v binary")
-        sums = self.stored(tree_sum(arrays).select(F.col("k").cast("long").alias("shard"), F.col("v").alias("f")))
-        # One row for each shard: where its frequent phrases' numbers begin.
-        sizes = sums.mapInArrow(_frequent(least), "shard long, size long").withColumn("base", F.coalesce(F.sum("size").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        sizes = self.stored(sizes)
-        if self.bits + int(sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]).bit_length() > 63:
+        kinds = {"shard": pa.int64(), "sizes": pa.list_(pa.int64()), "bits": pa.binary(), "keys": pa.binary(), "f": pa.binary(), "size": pa.int64(), "block": pa.int64(), "seen": pa.binary(), "number": pa.binary()}
+        seen = here.mapInArrow(dealt, "shard long, block long, keys binary, n binary")
+        both = self.stored(seen.groupBy("shard").applyInArrow(counted, "shard long, sizes array<long>, bits binary, keys binary, f binary, size long, block long, seen binary, number binary"))
+        level = self.levels[m] = both.where("block IS NULL").select("shard", "sizes", "bits", "keys", "f", "size")
+        if self.bits + int(level.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0] * shards).bit_length() > 63:
             raise ValueError("too many frequent phrases for 63 bits")
-        level = self.levels[m] = hashes.join(sums, "shard").join(sizes, "shard")
-        kept = self.stored(level.mapInArrow(_phrases(least, bits), "number long, first long, last long, f long"))
+        kept = self.stored(level.mapInArrow(_phrases(least, bits, shards), "number long, first long, last long, f long"))
         if m == 2:
             self.found[m] = kept.select("number", F.array("first", "last").alias("words"), "f")
         else:
             before = self.found[m - 1].select(F.col("number").alias("first"), F.col("words").alias("begin"))
             self.found[m] = self.stored(kept.join(before, "first").select("number", F.concat("begin", F.array("last")).alias("words"), "f"))
-        if m == self.longest:
-            return here
-        back = level.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        kinds = {"block": pa.int64(), "keys": pa.binary(), "number": pa.binary()}
-        numbers = _met(seen, back, ["shard", "salt"], _when_both(numbered, kinds), "block long, keys binary, number binary")
-        return self.stored(_met(here, numbers, ["block"], placed, "block long, words binary, here binary"))
+        if more:
+            numbers = both.where("block IS NOT NULL").select("block", "seen", "number")
+            then = self.stored(_met(here, numbers, ["block"], placed, "block long, words binary, here binary"))
+        self.dropped(here)
+        return then if more else here
 
     def counts(self, parts: DataFrame) -> DataFrame:
         """words and f of the distinct `parts` (words, numbers of frequent phrases), longer ones read by slot from their shards."""
-        bits, shards = self.bits, self.shards
+        bits, shards, least = self.bits, self.shards, self.least
         word = self.vocabulary.select(F.col("number").alias("at"), "f")
         read = parts.withColumn("at", F.element_at("words", 1)).join(word, "at").select("words", "at", "f")
         done = read.where(F.size("words") == 1)
@@ -224,12 +218,11 @@ class Phrases:
 
             def looked_up(asked: pa.Table, shard: pa.Table) -> pa.Table:
                 row = shard.to_pylist()[0]
-                own, f = PerfectHash.from_columns(row), np.frombuffer(row["f"], np.int64)
+                own, f = PerfectHash.from_columns(row | {"keys": unpacked(row["keys"]).tobytes()}), unpacked(row["f"])
                 slots = own.slots(asked["key"].to_numpy())
-                numbers = np.cumsum(f >= self_least) - 1 + row["base"]
+                numbers = (np.cumsum(f >= least) - 1) * shards + row["shard"]
                 return pa.table({"words": asked["words"], "at": numbers[slots], "f": f[slots]})
 
-            self_least = self.least
             asked = read.where(F.size("words") >= m).select("words", "at", F.element_at("words", m).alias("last")).mapInArrow(sharded, "words array<long>, key long, shard long")
             kinds = {"words": pa.list_(pa.int64()), "at": pa.int64(), "f": pa.int64()}
             read = self.stored(_met(asked, self.levels[m], ["shard"], _when_both(looked_up, kinds), "words array<long>, at long, f long"))
@@ -283,25 +276,28 @@ def _when_both(work, kinds: dict[str, pa.DataType]):
     return run
 
 
-def _frequent(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [int((np.frombuffer(f, np.int64) >= least).sum()) for f in batch["f"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"shard": batch["shard"], "size": pa.array(sizes, pa.int64())})
-
-    return run
+def _numbered(codes: pa.Table, known: pa.Table) -> pa.Table:
+    """block and words: the number of each position's word, -1 for rare words and ends of pieces."""
+    rows = []
+    for block, own in zip(codes["block"].to_pylist(), codes["codes"].to_pylist(), strict=True):
+        own = unpacked(own)
+        number = np.full(int(own.max()) + 2, -1, np.int64)
+        for code, value in zip(known["code"].combine_chunks(), known["number"].combine_chunks(), strict=True):
+            number[code.values.to_numpy(zero_copy_only=False)] = value.values.to_numpy(zero_copy_only=False)
+        rows.append((block, packed(number[own]), None))
+    return _table({"block": pa.int64(), "words": pa.binary(), "here": pa.binary()}, rows)
 
 
-def _phrases(least: int, bits: int):
+def _phrases(least: int, bits: int, shards: int):
     """The frequent phrases of shards: number, first words' number, last word and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["keys", "f", "base"]).to_pylist():
-                f, keys = np.frombuffer(row["f"], np.int64), np.frombuffer(row["keys"], np.int64)
+            for row in batch.select(["shard", "keys", "f"]).to_pylist():
+                f, keys = unpacked(row["f"]), unpacked(row["keys"])
                 keep = f >= least
                 keys = keys[keep]
-                yield pa.RecordBatch.from_pydict({"number": np.arange(len(keys)) + row["base"], "first": keys >> bits, "last": keys & ((1 << bits) - 1), "f": f[keep]})
+                yield pa.RecordBatch.from_pydict({"number": np.arange(len(keys)) * shards + row["shard"], "first": keys >> bits, "last": keys & ((1 << bits) - 1), "f": f[keep]})
 
     return run
 
