@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks as b
+from ..operators import tables as t
 from .tabular import load
 
 
@@ -30,7 +31,27 @@ def block_places(spark: SparkSession, d: str) -> DataFrame:
     return b.located(values, _lines(spark, d), fuzzy=False).select("doc_id", "type", "how", "pos", "start", "end", F.md5(F.col("value").cast("binary")).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (block_places,)}
+def table_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as tables: paragraphs are rows, sentences cells whose spans follow from their lengths; every cell on its grid."""
+
+    def cell(x: Column, i: Column) -> Column:
+        n = F.char_length(x)
+        spans = F.concat(F.lit('<td colspan="'), (n % 3 + 1).cast("string"), F.lit("\" rowspan='"), ((n + i) % 3 + 1).cast("string"), F.lit("'>"))
+        return F.concat(spans, x, F.lit("</td>"))
+
+    def row(x: Column, i: Column) -> Column:
+        cells = F.filter(F.transform(F.split(F.regexp_replace(x, "(?s)<[^>]*>", ""), "[.]"), lambda c: F.btrim(c)), lambda c: c != "")
+        return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: cell(c, i)), ""), F.lit("</tr>"))
+
+    # character references are left to tests: SQL has no table of them
+    parts = F.split(F.replace("html", F.lit("&"), F.lit("+")), "<p>")
+    rows = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), row)
+    html = F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>"))
+    cells = t.table_cells(load(spark, d, "pages").select("page_id", html.alias("html")))
+    return cells.select("page_id", "row", "col", "row_span", "col_span", "text")
+
+
+QUERIES = {f.__name__: f for f in (block_places, table_grid)}
 
 _TRIM = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 _PLAIN = r"""regexp_replace(regexp_replace(regexp_replace({x}, '\\(?:text|mathrm|mathbf|mathit|textbf|operatorname)\s*\{{([^{{}}]*)\}}', '\1', 'g'), '\\[()\[\]]|\$', '', 'g'), '\\[,;:! ]', ' ', 'g')"""
@@ -92,4 +113,19 @@ each AS (SELECT *, unnest(range(1, len(p) + 1)) AS j FROM runs),
 r2 AS (SELECT doc_id, type, value, how, bl[i + j - 1].pos AS pos, CAST(CASE WHEN j = 1 THEN length(bl[i].text) - length(p[1]) WHEN j = len(p) THEN 0 ELSE greatest(0, instr(bl[i + j - 1].text, p[j]) - 1) END AS INT) AS start, CAST(length(p[j]) AS INT) AS size FROM each)
 SELECT doc_id, type, how, CAST(pos AS INT) AS pos, start, stop AS "end", md5(value) AS value FROM (
   SELECT doc_id, type, value, how, pos, start, stop FROM inside UNION ALL SELECT doc_id, type, value, how, pos, start, start + size FROM r2)""",
+    "table_grid": f"""
+WITH RECURSIVE p AS (SELECT page_id, unnest(range(len(l) - 1)) AS i, unnest(l[2:]) AS x FROM (SELECT page_id, string_split(replace(html, '&', '+'), '<p>') AS l FROM pages)),
+q AS (SELECT page_id, i, list_filter(list_transform(string_split(regexp_replace(x, '(?s)<[^>]*>', '', 'g'), '.'), lambda z: trim(z)), lambda z: z != '') AS l FROM p),
+c AS (SELECT page_id, i, unnest(range(len(l))) AS j, unnest(l) AS x FROM q),
+k AS (SELECT page_id, i, j, x, dense_rank() OVER (PARTITION BY page_id ORDER BY i) - 1 AS r, length(x) % 3 + 1 AS w, (length(x) + i) % 3 + 1 AS h FROM c),
+o AS (SELECT page_id, r, w, h, x, row_number() OVER (PARTITION BY page_id ORDER BY i, j) AS n FROM k),
+g AS (
+  SELECT page_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS r, CAST(0 AS BIGINT) AS col, CAST(0 AS BIGINT) AS w, CAST(0 AS BIGINT) AS h, '' AS x, CAST(0 AS BIGINT) AS next, CAST([] AS BIGINT[]) AS free FROM pages
+  UNION ALL
+  SELECT page_id, n, r, col, w, h, x, col + w,
+         list_transform(range(0, greatest(len(free), col + w)), lambda z: CASE WHEN z >= col AND z < col + w THEN greatest(coalesce(free[z + 1], 0), r + h) ELSE coalesce(free[z + 1], 0) END)
+  FROM (SELECT o.page_id, o.n, o.r, o.w, o.h, o.x, g.free,
+      list_filter(range(CASE WHEN o.r = g.r THEN g.next ELSE 0 END, greatest(CASE WHEN o.r = g.r THEN g.next ELSE 0 END, len(g.free)) + 1), lambda z: coalesce(g.free[z + 1], 0) <= o.r)[1] AS col
+    FROM g JOIN o ON o.page_id = g.page_id AND o.n = g.n + 1))
+SELECT page_id, CAST(r AS INT) AS row, CAST(col AS INT) AS col, CAST(h AS INT) AS row_span, CAST(w AS INT) AS col_span, {_TRIM.format(x='x')} AS text FROM g WHERE n > 0""",
 }
