@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,3 +28,17 @@ def running_sum(df: DataFrame, by: list[str], order: list[Column], value: Column
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """Adds `name`: the row's number in its group, from 1."""
     return running_sum(df, by, order, F.lit(1).cast("long"), name)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as written to the folder that `spark.checkpoint.dir` names, so that what made them runs once.
+
+    A session in one process (as in tests) may leave it unset and gets a
+    temporary folder; elsewhere that is an error.
+    """
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sableframe-"))
+    return df.checkpoint(eager=True)
