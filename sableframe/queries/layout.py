@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks as b
+from ..operators import entities as e
+from ..operators import recognition as r
 from ..operators import tables as t
 from .tabular import load
 
@@ -51,7 +53,40 @@ def table_grid(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("page_id", "row", "col", "row_span", "col_span", "text")
 
 
-QUERIES = {f.__name__: f for f in (block_places, table_grid)}
+def document_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct lines of each document in chunks of 1,600 characters, whole lines and all chunks, with the place of each line."""
+    parts = r.chunks(load(spark, d, "documents"), longest=None, most=None)
+    return parts.select("doc_id", "chunk", F.md5(F.col("text").cast("binary")).alias("text"), F.array_join("offsets", ",").alias("offsets"))
+
+
+#: A stand-in for a model: capitalised words and the next one.
+NAMES = "[A-ZÄÖÜÉÈ][a-zäöüßéèêàçñóí]{2,} [a-zäöüßéèêàçñóí]{5,}"
+
+
+def names_model(parts: DataFrame) -> DataFrame:
+    found = parts.select("doc_id", "chunk", F.col("text").alias("whole"), F.explode(b.places(F.col("text"), F.lit(NAMES))).alias("x"))
+    text = F.substring(F.col("whole"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start"))
+    kind = F.when(F.char_length(text) % 3 == 0, "ORG").otherwise("PERSON")
+    return found.select("doc_id", "chunk", kind.alias("type"), text.alias("text"), F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), F.lit(0.8).alias("confidence"))
+
+
+def chunk_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Names found in chunks, each at its place in the document and with the text that stands there."""
+    docs = load(spark, d, "documents")
+    parts = r.chunks(docs, longest=None, most=None)
+    found = r.in_document(names_model(parts), parts, docs, None)
+    at = docs.select("doc_id", F.col("text").alias("full"))
+    there = F.substring(F.col("full"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return found.join(at, "doc_id").select("doc_id", "type", "start", "end", there.alias("text"))
+
+
+def recognised_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The whole recognition: a model's names, all patterns, checks, repeats, references and ids."""
+    found = r.recognised(load(spark, d, "documents"), names_model, e.PATTERNS, longest=None, most=None)
+    return found.select("doc_id", "entity_id", "type", "start", "end", "source", "propagated", "coref_id")
+
+
+QUERIES = {f.__name__: f for f in (block_places, table_grid, document_chunks, chunk_spans, recognised_entities)}
 
 _TRIM = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 _PLAIN = r"""regexp_replace(regexp_replace(regexp_replace({x}, '\\(?:text|mathrm|mathbf|mathit|textbf|operatorname)\s*\{{([^{{}}]*)\}}', '\1', 'g'), '\\[()\[\]]|\$', '', 'g'), '\\[,;:! ]', ' ', 'g')"""
@@ -59,6 +94,20 @@ _TIGHT = "regexp_replace({x}, '\\s+', '', 'g')"
 _SUM = r"""(CASE WHEN regexp_matches({x}, '[.．,，]00\D*$') AND length(regexp_replace({x}, '\D', '', 'g')) > 2 THEN regexp_replace(regexp_replace({x}, '\D', '', 'g'), '00$', '') ELSE regexp_replace({x}, '\D', '', 'g') END)"""
 _CLASS = "CASE WHEN regexp_matches({c}, '[0-9０-９]') THEN 1 WHEN regexp_matches({c}, '[A-Za-z]') THEN 2 WHEN regexp_matches({c}, '[一-鿿]') THEN 3 ELSE 0 END"
 
+# Distinct lines in order, each sought from the end of the one before; a chunk ends where the next line would pass the budget.
+_CHUNKS = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, unnest(range(len(l))) AS i, trim(regexp_replace(unnest(l), '\s+', ' ', 'g')) AS line FROM d),
+u AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS n FROM x WHERE line != '' GROUP BY doc_id, line),
+f AS (
+  SELECT doc_id, text, CAST(0 AS BIGINT) AS n, '' AS line, CAST(0 AS BIGINT) AS after, CAST(-1 AS BIGINT) AS spot, CAST(0 AS INT) AS chunk, CAST(0 AS BIGINT) AS used FROM d
+  UNION ALL
+  SELECT doc_id, text, n, line, CASE WHEN spot >= 0 THEN spot + length(line) ELSE after END, spot,
+    CASE WHEN used > 0 AND used + length(line) + 1 > 1600 THEN chunk + 1 ELSE chunk END, CASE WHEN used > 0 AND used + length(line) + 1 > 1600 THEN 0 ELSE used END + length(line) + 1
+  FROM (SELECT f.doc_id, f.text, u.n, u.line, f.after, f.chunk, f.used,
+      CASE WHEN strpos(substr(f.text, f.after + 1), u.line) > 0 THEN f.after + strpos(substr(f.text, f.after + 1), u.line) - 1 ELSE strpos(f.text, u.line) - 1 END AS spot
+    FROM f JOIN u ON u.doc_id = f.doc_id AND u.n = f.n + 1))"""
+
 SQL = {
     "block_places": rf"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
@@ -128,4 +177,12 @@ g AS (
       list_filter(range(CASE WHEN o.r = g.r THEN g.next ELSE 0 END, greatest(CASE WHEN o.r = g.r THEN g.next ELSE 0 END, len(g.free)) + 1), lambda z: coalesce(g.free[z + 1], 0) <= o.r)[1] AS col
     FROM g JOIN o ON o.page_id = g.page_id AND o.n = g.n + 1))
 SELECT page_id, CAST(r AS INT) AS row, CAST(col AS INT) AS col, CAST(h AS INT) AS row_span, CAST(w AS INT) AS col_span, {_TRIM.format(x='x')} AS text FROM g WHERE n > 0""",
+    "document_chunks": _CHUNKS + """
+SELECT doc_id, chunk, md5(string_agg(line, chr(10) ORDER BY n)) AS text, string_agg(CAST(spot AS VARCHAR), ',' ORDER BY n) AS offsets FROM f WHERE n > 0 GROUP BY doc_id, chunk""",
+    "chunk_spans": _CHUNKS + f"""
+, m AS (SELECT doc_id, spot, line, unnest(range(1, len(hits) + 1)) AS i, hits, gaps FROM (
+    SELECT doc_id, spot, line, regexp_extract_all(line, '{NAMES}') AS hits, string_split_regex(line, '{NAMES}') AS gaps FROM f WHERE n > 0) WHERE len(hits) > 0)
+SELECT doc_id, CASE WHEN length(hits[i]) % 3 = 0 THEN 'ORG' ELSE 'PERSON' END AS type,
+  CAST(spot + list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda g: length(g))), 0) AS BIGINT) AS start,
+  start + length(hits[i]) AS "end", hits[i] AS text FROM m""",
 }
