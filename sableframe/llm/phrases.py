@@ -45,12 +45,16 @@ BLANK[list(b" \t")] = True
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Whole numbers as bytes, first bytes first, so that what is all 0 or -1 stands together and compresses away."""
-    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Whole numbers compressed: how many, then their first bytes, their second ones and so on."""
+    if not len(x):
+        return bytes(8)
+    return len(x).to_bytes(8, "little") + pa.compress(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel().astype(np.int64)
+    n = int.from_bytes(x[:8], "little")
+    raw = pa.decompress(x[8:], 8 * n, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel().astype(np.int64)
 
 
 def word_codes(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
@@ -104,13 +108,13 @@ class Phrases:
         words = corpus.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select("block", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
         sums = self.stored(words.groupBy("lang", "word").agg(F.sum("n").cast("long").alias("f")))
         self.totals = sums.groupBy("lang").agg(F.sum("f").cast("long").alias("n"))
-        self.vocabulary = self.stored(ranked(sums.where(F.col("f") >= least), [], [F.col("lang").asc(), F.col("word").asc()], "number"))
+        self.vocabulary = self.stored(ranked(sums.where(F.col("f") >= least), [], [F.col("f").desc(), F.col("lang").asc(), F.col("word").asc()], "number"))
         self.words, self.frequent = sums.agg(F.sum("f")).first()[0] or 0, self.vocabulary.count()
         self.shards = max(1, -(-self.words // shard_words))
         self.bits = max(1, int(self.frequent).bit_length())
         known = self.vocabulary.drop("f")
         numbers = words.drop("n").join(F.broadcast(known) if self.frequent <= BROADCAST_WORDS else known, ["lang", "word"])
-        numbers = numbers.groupBy("block").agg(F.collect_list("code").alias("code"), F.collect_list("number").alias("number"))
+        numbers = numbers.groupBy("block").agg(F.collect_list("code").alias("code"), F.collect_list(F.col("number").cast("int") if self.frequent < 2**31 else "number").alias("number"))
         here = self.stored(_met(corpus.select("block", "codes"), numbers, ["block"], _numbered, "block long, words binary, here binary"))
         self.dropped(corpus)
         self.levels: dict[int, DataFrame] = {}
