@@ -319,12 +319,15 @@ def imported_pools(own: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def batch_selection(requested: DataFrame, files: DataFrame) -> DataFrame:
-    """Requested files (position, file_id), each once: included with a name that no other has, or skipped with the reason."""
+    """Requested files (position, file_id), each once: included with a name that no other has, or skipped with the reason.
+
+    Files at one position stand in order of their ids; a file without a name is called `file`.
+    """
     once = requested.groupBy("file_id").agg(F.min("position").alias("position"))
-    f = files.select("file_id", "name", "deleted_at", "has_output")
-    reason = F.when(F.col("name").isNull(), "not_found").when(F.col("deleted_at").isNotNull(), "deleted").when(~F.col("has_output"), "no_output")
+    f = files.select("file_id", F.coalesce(F.col("name"), F.lit("file")).alias("name"), "deleted_at", "has_output", F.lit(True).alias("_there"))
+    reason = F.when(F.col("_there").isNull(), "not_found").when(F.col("deleted_at").isNotNull(), "deleted").when(~F.col("has_output"), "no_output")
     out = once.join(f, "file_id", "left").withColumn("reason", reason)
-    nth = F.row_number().over(Window.partitionBy("name", F.col("reason").isNull()).orderBy("position"))
+    nth = F.row_number().over(Window.partitionBy("name", F.col("reason").isNull()).orderBy("position", "file_id"))
     named = F.when(nth > 1, F.concat((nth - 1).cast("string"), F.lit("_"), F.col("name"))).otherwise(F.col("name"))
     return out.select("file_id", "position", F.when(F.col("reason").isNull(), named).alias("archive_name"), "reason")
 

@@ -379,7 +379,7 @@ SELECT type, string_agg(w, ',' ORDER BY l, w) AS words, (SELECT string_agg(v, ',
     "batch_selection": """
 WITH a AS (SELECT l_partkey + CASE WHEN l_orderkey % 50 = 0 THEN 10000000 ELSE 0 END AS file_id, min(l_orderkey) AS position FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
 r AS (SELECT file_id, position, p_brand AS name, CASE WHEN p_partkey IS NULL THEN 'not_found' WHEN p_partkey % 11 = 0 THEN 'deleted' WHEN p_size <= 5 THEN 'no_output' END AS reason FROM a LEFT JOIN part ON p_partkey = file_id),
-n AS (SELECT *, row_number() OVER (PARTITION BY name, reason IS NULL ORDER BY position) AS nth FROM r)
+n AS (SELECT *, row_number() OVER (PARTITION BY name, reason IS NULL ORDER BY position, file_id) AS nth FROM r)
 SELECT file_id, position, CASE WHEN reason IS NULL THEN CASE WHEN nth > 1 THEN (nth - 1)::VARCHAR || '_' || name ELSE name END END AS archive_name, reason FROM n""",
     "relocated_entities": """
 WITH t AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents), e AS (

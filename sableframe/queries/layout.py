@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import blocks as b
 from ..operators import entities as e
 from ..operators import recognition as r
+from ..operators import runs as s
 from ..operators import tables as t
 from .tabular import load
+from .text import _spans_sql
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +88,30 @@ def recognised_entities(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "entity_id", "type", "start", "end", "source", "propagated", "coref_id")
 
 
-QUERIES = {f.__name__: f for f in (block_places, table_grid, document_chunks, chunk_spans, recognised_entities)}
+def _marks(docs: DataFrame) -> DataFrame:
+    """Each document's matches of all patterns as originals, with a mark of the first type in their place."""
+    found = e.spans(docs).groupBy("doc_id", F.col("text").alias("original")).agg(F.min("type").alias("type"))
+    return found.select("doc_id", "original", F.concat(F.lit("<"), "type", F.lit(">")).alias("replacement"))
+
+
+def styled_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as runs of 40 characters, all matches replaced across their borders."""
+    docs = load(spark, d, "documents")
+    whole = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.char_length("text") - 1) / 40).cast("int")))
+    runs = docs.select("doc_id", F.posexplode(F.transform(whole, lambda k: F.substring(F.col("text"), k * 40 + 1, F.lit(40)))).alias("run", "text"))
+    return s.replaced_runs(runs, _marks(docs)).select("doc_id", "run", "text")
+
+
+def preview_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut at what is replaced: how many pieces, how many of them changed, and all of them in order."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    parts = s.segments(docs, _marks(docs))
+    both = F.concat("text", F.lit("|"), F.coalesce("replacement", F.lit("")))
+    one = F.transform(F.array_sort(F.collect_list(F.struct("nth", both.alias("x")))), lambda p: p["x"])
+    return parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("replaced").alias("changed"), F.md5(F.array_join(one, "/").cast("binary")).alias("pieces"))
+
+
+QUERIES = {f.__name__: f for f in (block_places, table_grid, document_chunks, chunk_spans, recognised_entities, styled_runs, preview_segments)}
 
 _TRIM = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 _PLAIN = r"""regexp_replace(regexp_replace(regexp_replace({x}, '\\(?:text|mathrm|mathbf|mathit|textbf|operatorname)\s*\{{([^{{}}]*)\}}', '\1', 'g'), '\\[()\[\]]|\$', '', 'g'), '\\[,;:! ]', ' ', 'g')"""
@@ -108,6 +133,19 @@ f AS (
       CASE WHEN strpos(substr(f.text, f.after + 1), u.line) > 0 THEN f.after + strpos(substr(f.text, f.after + 1), u.line) - 1 ELSE strpos(f.text, u.line) - 1 END AS spot
     FROM f JOIN u ON u.doc_id = f.doc_id AND u.n = f.n + 1))"""
 
+# Matches of the originals by start and length, each kept if it begins at or after the end of the last one kept.
+_KEPT = f"""
+WITH RECURSIVE o AS (SELECT doc_id, text AS original, '<' || min(type) || '>' AS replacement FROM ({_spans_sql(list(e.PATTERNS))}) GROUP BY ALL),
+g AS (SELECT doc_id, original, replacement, string_split(text, original) AS gaps FROM o JOIN documents USING (doc_id)),
+m AS (SELECT doc_id, original, replacement, CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) + (i - 1) * length(original) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(gaps))) AS i FROM g)),
+n AS (SELECT doc_id, start, start + length(original) AS stop, replacement, row_number() OVER (PARTITION BY doc_id ORDER BY start, length(original) DESC) AS nth FROM m),
+z AS (
+  SELECT doc_id, nth, start, stop, replacement, stop AS past, TRUE AS keep FROM n WHERE nth = 1
+  UNION ALL
+  SELECT n.doc_id, n.nth, n.start, n.stop, n.replacement, CASE WHEN n.start >= z.past THEN n.stop ELSE z.past END, n.start >= z.past FROM z JOIN n ON n.doc_id = z.doc_id AND n.nth = z.nth + 1),
+k AS (SELECT doc_id, start, stop, replacement FROM z WHERE keep)"""
+
 SQL = {
     "block_places": rf"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
@@ -185,4 +223,21 @@ SELECT doc_id, chunk, md5(string_agg(line, chr(10) ORDER BY n)) AS text, string_
 SELECT doc_id, CASE WHEN length(hits[i]) % 3 = 0 THEN 'ORG' ELSE 'PERSON' END AS type,
   CAST(spot + list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda g: length(g))), 0) AS BIGINT) AS start,
   start + length(hits[i]) AS "end", hits[i] AS text FROM m""",
+    "styled_runs": _KEPT + """
+, hit AS (SELECT DISTINCT doc_id FROM k),
+ch AS (SELECT doc_id, unnest(range(length(text))) AS pos, unnest(string_split(text, '')) AS c FROM documents SEMI JOIN hit USING (doc_id)),
+cv AS (SELECT ch.*, k.start AS s, k.replacement AS r FROM ch LEFT JOIN k ON k.doc_id = ch.doc_id AND pos >= k.start AND pos < k.stop),
+maj AS (SELECT doc_id, s, r, pos // 40 AS run FROM cv WHERE s IS NOT NULL GROUP BY doc_id, s, r, pos // 40 QUALIFY row_number() OVER (PARTITION BY doc_id, s ORDER BY count(*) DESC, pos // 40) = 1),
+pieces AS (SELECT doc_id, pos // 40 AS run, pos, c AS x FROM cv WHERE s IS NULL UNION ALL SELECT doc_id, run, s, r FROM maj),
+done AS (SELECT doc_id, run, string_agg(x, '' ORDER BY pos) AS text FROM pieces GROUP BY ALL),
+runs AS (SELECT doc_id, unnest(range(greatest(1, (length(text) + 39) // 40))) AS run, text FROM documents)
+SELECT runs.doc_id, CAST(runs.run AS INT) AS run, CASE WHEN hit.doc_id IS NULL THEN substr(runs.text, CAST(runs.run AS BIGINT) * 40 + 1, 40) ELSE coalesce(done.text, '') END AS text
+FROM runs LEFT JOIN hit ON hit.doc_id = runs.doc_id LEFT JOIN done ON done.doc_id = runs.doc_id AND done.run = runs.run""",
+    "preview_segments": _KEPT + """
+, e AS (SELECT doc_id, start, stop, replacement, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS low FROM k),
+p AS (
+  SELECT doc_id, start AS pos, 1 AS o, substr(text, start + 1, stop - start) || '|' || replacement AS x, TRUE AS changed FROM e JOIN documents USING (doc_id)
+  UNION ALL SELECT doc_id, low, 0, substr(text, low + 1, start - low) || '|', FALSE FROM e JOIN documents USING (doc_id) WHERE start > low
+  UNION ALL SELECT doc_id, low, 0, substr(text, low + 1) || '|', FALSE FROM (SELECT doc_id, text, coalesce(max(stop), 0) AS low FROM documents LEFT JOIN k USING (doc_id) GROUP BY ALL) WHERE low < length(text))
+SELECT doc_id, count(*) AS n, count(*) FILTER (changed) AS changed, md5(string_agg(x, '/' ORDER BY pos, o)) AS pieces FROM p GROUP BY doc_id""",
 }
