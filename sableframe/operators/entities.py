@@ -257,11 +257,3 @@ def subsequence_share(short: pd.Series, long: pd.Series) -> pd.Series:
         return hit / len(a) if a else 0.0
 
     return pd.Series([share(a, b) for a, b in zip(short, long, strict=True)])
-
-
-def alias_links(orgs: DataFrame, least: float = 0.9) -> DataFrame:
-    """(doc_id, alias, full): an organisation of four letters or more that is mostly a subsequence of a longer one, the longest."""
-    a, b = orgs.select("doc_id", F.col("text").alias("alias")).distinct(), orgs.select("doc_id", F.col("text").alias("full")).distinct()
-    pairs = a.join(b, "doc_id").where((F.char_length("alias") >= 4) & (F.char_length("full") > F.char_length("alias")))
-    good = pairs.where(subsequence_share(F.col("alias"), F.col("full")) >= least)
-    return good.groupBy("doc_id", "alias").agg(F.max(F.struct(F.char_length("full").alias("n"), "full"))["full"].alias("full"))

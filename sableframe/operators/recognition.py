@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .entities import SOURCE_RANK, TYPE_PRIORITY, alias_links, lookup, settled, spans, without_overlaps
+from .entities import SOURCE_RANK, TYPE_PRIORITY, lookup, settled, spans, without_overlaps
+from .organisations import alias_links
 from .running import kept
 
 # Budget of a chunk, longest line and most chunks of a document; edges that are no part of an entity; what a model alone decides.

@@ -12,9 +12,11 @@ def running_sum(df: DataFrame, by: list[str], order: list[Column], value: Column
     """Adds `name`: the sum of `value` over a group's rows up to this one. Rows with equal order are summed one after another.
 
     The partitions' sums, one row for each group and partition, are what is
-    added up in order; each row then joins what came before its partition.
+    added up in order; each row then joins what came before its partition. The
+    dealt rows are kept, as bounds are sampled: dealt twice, or dealt anew for a
+    lost task, rows could change their partitions.
     """
-    ranged = df.withColumn("_v", value).repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_p", F.spark_partition_id())
+    ranged = kept(df.withColumn("_v", value).repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_p", F.spark_partition_id()))
     inside = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy(*by, "_p").agg(F.sum("_v").alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as b
 from ..operators import entities as e
+from ..operators import organisations as o
 from ..operators import recognition as r
 from ..operators import runs as s
 from ..operators import tables as t
@@ -111,7 +112,29 @@ def preview_segments(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("replaced").alias("changed"), F.md5(F.array_join(one, "/").cast("binary")).alias("pieces"))
 
 
-QUERIES = {f.__name__: f for f in (block_places, table_grid, document_chunks, chunk_spans, recognised_entities, styled_runs, preview_segments)}
+PLACES = ("", "中华人民共和国", "广西区", "南宁市", "中国", "都市", "全国", "江苏省南京市")
+CORES = ("", "信尔胜", "法治企业", "政府顾问", "贸易", "联合国", "绿岛", "司法", "教育", "最高人民法院", "机械（江苏）")
+KINDS = ("有限公司", "部", "厅", "律师事务所", "人才库", "研究院", "公证处", "党委", "组织部", "咖啡厅", "日报", "网", "医院", "小学", "律师事务中心", "司法厅", "协会", "指南", "办公室", "国资委", "集团财政厅", "大学", "服务中心")
+
+
+def organisation_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Names of customers as organisations, put together from their keys: what keeps its name, what stands for it, and its pool."""
+    k = F.col("c_custkey")
+    parts = [F.element_at(F.array(*map(F.lit, x)), (F.floor(k / n) % len(x) + 1).cast("int")) for x, n in ((PLACES, 1), (CORES, 3), (KINDS, 7))]
+    name = F.when(k % 13 == 0, F.concat(F.lit("《"), *parts, F.lit("》"))).otherwise(F.concat(F.lit(" "), *parts))
+    return o.ruled(load(spark, d, "customer").select("c_custkey", name.alias("text"))).select("c_custkey", "preserved", "base", "pool")
+
+
+def organisation_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Short names of a nation's customers and the full names they mean."""
+    rows = load(spark, d, "customer").withColumn("k", F.col("c_custkey").cast("string"))
+    full = F.concat("c_mktsegment", F.lit(" works "), "k", F.lit(" company limited"))
+    short = F.concat(F.lit("("), F.regexp_replace("c_mktsegment", "[AEIOU]$", ""), F.lit(" works "), "k", F.lit(")"))
+    names = rows.select(F.col("c_nationkey").cast("long").alias("doc_id"), F.explode(F.array(full, F.when(F.col("c_custkey") % 3 == 0, short))).alias("text")).where("text IS NOT NULL")
+    return o.alias_links(names).select(F.col("doc_id").alias("nation"), "alias", "full")
+
+
+QUERIES = {f.__name__: f for f in (organisation_rules, organisation_aliases, block_places, table_grid, document_chunks, chunk_spans, recognised_entities, styled_runs, preview_segments)}
 
 _TRIM = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 _PLAIN = r"""regexp_replace(regexp_replace(regexp_replace({x}, '\\(?:text|mathrm|mathbf|mathit|textbf|operatorname)\s*\{{([^{{}}]*)\}}', '\1', 'g'), '\\[()\[\]]|\$', '', 'g'), '\\[,;:! ]', ' ', 'g')"""
@@ -146,6 +169,15 @@ z AS (
   SELECT n.doc_id, n.nth, n.start, n.stop, n.replacement, CASE WHEN n.start >= z.past THEN n.stop ELSE z.past END, n.start >= z.past FROM z JOIN n ON n.doc_id = z.doc_id AND n.nth = z.nth + 1),
 k AS (SELECT doc_id, start, stop, replacement FROM z WHERE keep)"""
 
+def _list(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _any(test: str, words: tuple[str, ...]) -> str:
+    quoted = ("'" + w + "'" for w in words)
+    return "(" + " OR ".join(test.format(w=w) for w in quoted) + ")"
+
+
 SQL = {
     "block_places": rf"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
@@ -240,4 +272,27 @@ p AS (
   UNION ALL SELECT doc_id, low, 0, substr(text, low + 1, start - low) || '|', FALSE FROM e JOIN documents USING (doc_id) WHERE start > low
   UNION ALL SELECT doc_id, low, 0, substr(text, low + 1) || '|', FALSE FROM (SELECT doc_id, text, coalesce(max(stop), 0) AS low FROM documents LEFT JOIN k USING (doc_id) GROUP BY ALL) WHERE low < length(text))
 SELECT doc_id, count(*) AS n, count(*) FILTER (changed) AS changed, md5(string_agg(x, '/' ORDER BY pos, o)) AS pieces FROM p GROUP BY doc_id""",
+    "organisation_rules": f"""
+WITH a AS (SELECT c_custkey, {_list(PLACES)}[CAST(c_custkey % {len(PLACES)} AS INT) + 1] || {_list(CORES)}[CAST((c_custkey // 3) % {len(CORES)} AS INT) + 1] || {_list(KINDS)}[CAST((c_custkey // 7) % {len(KINDS)} AS INT) + 1] AS z FROM customer),
+x AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN '《' || z || '》' ELSE z END AS x FROM a),
+n AS (SELECT *, CASE WHEN starts_with(x, '中华人民共和国') THEN substr(x, 8) ELSE x END AS y, regexp_matches(x, '{o.REGION}') AND NOT {_any("starts_with(x, {w})", o.NO_REGION)} AS regional FROM x),
+t AS (SELECT *, CASE WHEN regional THEN regexp_replace(x, '{o.REGION}', '') ELSE x END AS z, coalesce({", ".join(f"CASE WHEN ends_with(x, '{w}') THEN '{w}' END" for w in o.SERVICE_ENDINGS)}) AS tail FROM n),
+u AS (SELECT *, CASE WHEN starts_with(z, '中国') OR starts_with(z, '全国') THEN substr(z, 3) ELSE z END AS rest FROM t)
+SELECT c_custkey,
+  (NOT ((ends_with(y, '部') OR ends_with(y, '厅')) AND {_any("contains(y, {w})", o.BUSINESS_WORDS)})
+    AND ({_any("ends_with(y, {w})", o.PUBLIC_ENDINGS)} OR {_any("contains(y, {w})", o.PUBLIC_WORDS + o.INTERNATIONAL_WORDS)} OR {_any("ends_with(y, {w} || '部')", o.MINISTRIES)}))
+  OR regexp_matches(x, '^《[^》]{{1,40}}》$') OR {_any("ends_with(x, {w})", o.PUBLICATION_ENDINGS)} AS preserved,
+  coalesce({", ".join(f"CASE WHEN ends_with(x, '{w}') THEN '{v}' END" for w, v in o.ORGANS.items())}, CASE WHEN ends_with(x, '厅') AND NOT {_any("contains(x, {w})", o.HALLS_ELSE)} THEN '某厅' END,
+    CASE WHEN tail IS NOT NULL THEN '某' || CASE WHEN rest != '' THEN rest ELSE tail END END) AS base,
+  coalesce({", ".join(f"CASE WHEN ends_with(x, '{w}') THEN '{v}' END" for w, v in o.POOLS.items())}) AS pool
+FROM u""",
+    "organisation_aliases": """
+WITH n AS (
+  SELECT DISTINCT c_nationkey::BIGINT AS nation, unnest([c_mktsegment || ' works ' || c_custkey || ' company limited',
+    CASE WHEN c_custkey % 3 = 0 THEN '(' || regexp_replace(c_mktsegment, '[AEIOU]$', '') || ' works ' || c_custkey || ')' END]) AS text FROM customer),
+k AS (SELECT nation, text, trim(regexp_replace(text, '\\s+', '', 'g'), ' ，。；;、()（）[]【】') AS key FROM n WHERE text IS NOT NULL),
+p AS (SELECT a.nation, a.text AS alias, b.text AS full, a.key AS short, b.key AS long FROM k a JOIN k b ON a.nation = b.nation AND length(b.text) > length(a.text) WHERE length(a.key) >= 4),
+s AS (SELECT *, list_reduce(list_prepend({'at': 0, 'hit': 0, 'c': ''}, list_transform(string_split(short, ''), lambda c: {'at': 0, 'hit': 0, 'c': c})),
+  lambda z, y: CASE WHEN strpos(substr(long, CAST(z.at AS BIGINT) + 1), y.c) > 0 THEN {'at': CAST(z.at + strpos(substr(long, CAST(z.at AS BIGINT) + 1), y.c) AS INT), 'hit': z.hit + 1, 'c': ''} ELSE {'at': z.at, 'hit': z.hit, 'c': ''} END).hit AS hit FROM p)
+SELECT nation, alias, (max({'n': length(full), 'f': full})).f AS full FROM s WHERE hit / length(short) >= 0.9 GROUP BY nation, alias""",
 }
