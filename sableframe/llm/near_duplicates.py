@@ -13,15 +13,16 @@
    bands) leads, and all others are compared with it. Links make classes by
    alternating star contractions.
 4. Buckets of at most `SMALL` texts then compare what is still in different
-   classes. Larger ones with several classes are dealt out anew, into buckets by
-   longer and longer bands of the sketches, and go through 3 and 4 again until
-   none is left: work is linear in a bucket's texts at each level, without a cap.
-   Two texts that a leader hides from each other (each may be linked to others,
-   or to none) agree in samples in which they differ from the leader, so they
-   meet in the smaller buckets.
+   classes. The texts of larger ones with several classes (pages of one template,
+   say) are compared by what they don't share with the others: their shingles,
+   ordered by the number of these texts that have them, rarest first, up to more
+   than 1 - threshold of their weight. Two texts as alike as the threshold share
+   one of these, whatever else they have (the prefix filter of set joins), so
+   none is lost; what is common to all of them is in no such prefix unless a text
+   is little else, and then its leader has linked it.
 5. Only pairs whose sketches agree as often as the threshold says, less
    `SLACK` standard deviations, read their texts for the exact similarity
-   (`slack=None` compares every pair of a bucket exactly).
+   (`slack=None` leaves this test out, so every pair of 4 is compared exactly).
    Equal texts are one node throughout, so copies cost nothing; a class's id is
    its least doc_id.
 
@@ -60,8 +61,8 @@ SKETCH = [f"s{i}" for i in range(SKETCH_SAMPLES // 32)]
 SLACK = 4.0
 #: Texts of a bucket whose classes are all compared with each other.
 SMALL = 32
-#: Samples of a sketch in one band of the second level, and how many times as many each further level has.
-SECOND, TIMES = 12, 4
+#: What rounding may take from a similarity.
+ROUNDING = 1e-6
 
 
 def text_key(text: Column) -> Column:
@@ -237,20 +238,6 @@ def plausible(other: str, threshold: float, slack: float | None) -> Column:
     return different <= int(SKETCH_SAMPLES * (1 - same + slack * (same * (1 - same) / SKETCH_SAMPLES) ** 0.5))
 
 
-def sketch_buckets(sketches: DataFrame, samples: int) -> DataFrame:
-    """(bucket, key) of each text and each band of so many samples of its sketch."""
-    rng = np.random.default_rng(samples)
-    bands = []
-    for band in range(BANDS):
-        masks = [0] * len(SKETCH)
-        for i in rng.choice(SKETCH_SAMPLES, samples, replace=False).tolist():
-            masks[i // 32] |= 3 << 2 * (i % 32)
-        bands.append(F.struct(F.lit(band).alias("band"), *(F.lit(m - (1 << 64) if m >= 1 << 63 else m).alias(f"m_{c}") for c, m in zip(SKETCH, masks, strict=True))))
-    each = sketches.select("key", *SKETCH, F.explode(F.array(*bands)).alias("m"))
-    parts = [F.col(c).bitwiseAND(F.col(f"m.m_{c}")) for c in SKETCH]
-    return each.select(F.xxhash64(F.lit(samples), F.col("m.band"), *parts).alias("bucket"), "key")
-
-
 def buckets(keyed: DataFrame, idf) -> DataFrame:
     """(bucket, key): each distinct text once in each of its buckets. `idf` is a broadcast."""
 
@@ -272,6 +259,30 @@ def buckets(keyed: DataFrame, idf) -> DataFrame:
     return keyed.mapInArrow(run, "bucket long, key binary").distinct()
 
 
+def prefixes(texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """(h, key, total): of each text the rarest shingles that hold more than 1 - threshold of its whole weight.
+
+    Rarity is that among these texts, by slots, then the hash: any order serves
+    that is the same for all of them.
+    """
+    counts = texts.sparkSession.sparkContext.broadcast(slot_sums(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, limit=1_000_000):
+            h, w, sizes = weighted(encoded(block), idf.value)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((h, counts.value[slot_of(h)], owner))
+            h, w = h[order], w[order]
+            total = np.bincount(owner, w, len(sizes))
+            before = np.cumsum(w) - w
+            first = np.repeat(before[np.minimum(np.cumsum(sizes) - sizes, max(len(w) - 1, 0))], sizes) if len(w) else before
+            kept = before - first <= (1 - threshold + ROUNDING) * total[owner]
+            keys = block.column("key").take(pa.array(owner[kept]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), keys, pa.array(total[owner[kept]])], names=["h", "key", "total"])
+
+    return texts.select("key", "text").mapInArrow(run, "h long, key binary, total double")
+
+
 # -- links ------------------------------------------------------------------
 
 
@@ -376,21 +387,23 @@ def rooted(docs: DataFrame, threshold: float = THRESHOLD, slack: float | None =
             moved = roots.join(merged.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
             roots = checkpointed(moved.union(merged).repartition("key"))
 
-    samples = SECOND
-    while True:
-        placed, leaders = led(of_several_classes(in_classes(members, roots)))
-        led_pairs = placed.join(leaders, "bucket").where("root != a_root").select("key", "a_key", "root", "a_root").distinct()
-        verify(led_pairs.join(sketches, "key").join(prefixed(sketches, "key", *SKETCH), "a_key").where(plausible("a_", threshold, slack)))
-        left = checkpointed(of_several_classes(in_classes(placed, roots)))
-        few = left.where(F.col("size") <= small).select("bucket", "key", "root").join(sketches, "key")
-        pairs = few.join(prefixed(few, "bucket", "key", "root", *SKETCH).withColumnRenamed("a_bucket", "bucket"), "bucket")
-        verify(pairs.where((F.col("key") < F.col("a_key")) & (F.col("root") != F.col("a_root")) & plausible("a_", threshold, slack)))
-        many = of_several_classes(in_classes(left.where(F.col("size") > small), roots))
-        active = checkpointed(many.select("key").distinct())
-        if samples > SKETCH_SAMPLES or active.isEmpty():
-            return roots
-        members = sketch_buckets(sketches.join(active, "key", "left_semi"), samples)
-        samples *= TIMES
+    placed, leaders = led(of_several_classes(in_classes(members, roots)))
+    led_pairs = placed.join(leaders, "bucket").where("root != a_root").select("key", "a_key", "root", "a_root").distinct()
+    verify(led_pairs.join(sketches, "key").join(prefixed(sketches, "key", *SKETCH), "a_key").where(plausible("a_", threshold, slack)))
+    left = checkpointed(of_several_classes(in_classes(placed, roots)))
+    few = left.where(F.col("size") <= small).select("bucket", "key", "root").join(sketches, "key")
+    pairs = few.join(prefixed(few, "bucket", "key", "root", *SKETCH).withColumnRenamed("a_bucket", "bucket"), "bucket")
+    verify(pairs.where((F.col("key") < F.col("a_key")) & (F.col("root") != F.col("a_root")) & plausible("a_", threshold, slack)))
+    many = of_several_classes(in_classes(left.where(F.col("size") > small), roots))
+    active = checkpointed(many.select("key", "root").distinct())
+    if active.isEmpty():
+        return roots
+    rare = prefixes(texts.join(active, "key", "left_semi"), idf, threshold)
+    rare = checkpointed(rare.join(active, "key")).join(sketches, "key")
+    pairs = rare.join(prefixed(rare, "h", "key", "root", "total", *SKETCH).withColumnRenamed("a_h", "h"), "h")
+    alike = F.least("total", "a_total") >= (threshold - ROUNDING) * F.greatest("total", "a_total")
+    verify(pairs.where((F.col("key") < F.col("a_key")) & (F.col("root") != F.col("a_root")) & alike & plausible("a_", threshold, slack)))
+    return roots
 
 
 # -- classes ----------------------------------------------------------------
