@@ -25,9 +25,11 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sableframe.functions.text import let
+
 from .common import table
 
 #: Wordings by licence: notices, headers of files, SPDX tags and whole licences, as published.
@@ -74,19 +76,34 @@ def _weights() -> tuple[list[tuple[str, float]], float, list[tuple[int, str, str
 
 
 def passages(files: DataFrame) -> DataFrame:
-    """(file_id, path, passage, text): licence files whole, as passage 0, and the headers of all files by their first line."""
+    """(file_id, path, passage, text): licence files whole, as passage 0, and the headers of all files by their first line.
+
+    Lines and cues are bound once, and a run of neighbouring lines is found from
+    each cue and the one before it, so the work is linear in a file's lines.
+    """
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    lines = F.split("text", "\n")
-    cues = F.filter(F.transform(lines, lambda x, i: F.when(F.lower(x).rlike(CUE), i)), lambda i: i.isNotNull())
-    near = F.array_sort(F.array_distinct(F.flatten(F.transform(cues, lambda i: F.sequence(F.greatest(i - AROUND, F.lit(0)), F.least(i + AROUND, F.size(lines) - 1))))))
-    # A run of neighbouring lines is one header; so is each line with a cue alone.
-    starts = F.filter(near, lambda i: ~F.array_contains(near, i - 1))
-    ends = F.filter(near, lambda i: ~F.array_contains(near, i + 1))
-    runs = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.struct((r["a"] + 1).alias("passage"), F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), "\n").alias("text")))
-    single = F.transform(cues, lambda i: F.struct((-i - 1).alias("passage"), F.get(lines, i).alias("text")))
+
+    def cue_lines(lines: Column) -> Column:
+        return F.filter(F.transform(lines, lambda x, i: F.when(F.lower(x).rlike(CUE), i)), lambda i: i.isNotNull())
+
+    def edges(cues: Column, step: int) -> Column:
+        """Cues without a neighbour before (-1) or after (1) whose lines around it touch theirs."""
+        far = F.transform(cues, lambda i, k: F.when(F.coalesce(step * (F.get(cues, k + step) - i) > 2 * AROUND + 1, F.lit(True)), i))
+        return F.filter(far, lambda i: i.isNotNull())
+
+    def headers(lines: Column, cues: Column) -> Column:
+        def run(r: Column) -> Column:
+            start, end = F.greatest(r["a"] - AROUND, F.lit(0)), F.least(r["b"] + AROUND, F.size(lines) - 1)
+            return F.struct((start + 1).alias("passage"), F.array_join(F.slice(lines, start + 1, end - start + 1), "\n").alias("text"))
+
+        runs = F.transform(F.arrays_zip(edges(cues, -1).alias("a"), edges(cues, 1).alias("b")), run)
+        # a run of neighbouring lines is one header; so is each line with a cue alone
+        return F.concat(runs, F.transform(cues, lambda i: F.struct((-i - 1).alias("passage"), F.get(lines, i).alias("text"))))
+
+    found = let(F.split("text", "\n"), lambda lines: let(cue_lines(lines), lambda cues: headers(lines, cues)))
     whole = F.when(name.rlike(LICENSE_FILE), F.array(F.struct(F.lit(0).alias("passage"), F.col("text").alias("text")))).otherwise(F.array())
-    found = F.when(F.lower("text").rlike(CUE), F.concat(whole, runs, single)).otherwise(whole)
-    return files.where("text IS NOT NULL").select("file_id", "path", F.explode(found).alias("p")).select("file_id", "path", "p.passage", "p.text")
+    both = F.when(F.lower("text").rlike(CUE), F.concat(whole, found)).otherwise(whole)
+    return files.where("text IS NOT NULL").select("file_id", "path", F.explode(both).alias("p")).select("file_id", "path", "p.passage", "p.text")
 
 
 def own_licenses(files: DataFrame) -> DataFrame:

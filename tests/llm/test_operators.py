@@ -49,6 +49,18 @@ def test_same_as_sql(spark, data, name):
     assert sorted(str(list(r)) for r in mine) == sorted(str(list(r)) for r in found.fetchall())
 
 
+def test_license_passages_of_many_cue_lines(spark):
+    """One header around all of them and each line alone, in seconds."""
+    text = "\n".join(f"copyright x {i}" for i in range(100_000))
+    rows = license_scan.passages(spark.createDataFrame([(1, "a/b.py", text), (2, "a/c.py", "x\nlicense\n" + "y\n" * 20 + "spdx\n\nz")], "file_id long, path string, text string"))
+    assert rows.where("file_id = 1").count() == 100_001
+    few = {r["passage"]: r["text"] for r in rows.where("file_id = 2").collect()}
+    lines = ["x", "license", *["y"] * 20, "spdx", "", "z"]
+    around = license_scan.AROUND
+    want = {1: "\n".join(lines[0 : 2 + around]), 22 - around + 1: "\n".join(lines[22 - around : 23 + around]), -2: "license", -23: "spdx"}
+    assert few == want
+
+
 def test_packing(edges, nothing):
     rows = packing.packed(edges).collect()
     assert packing.packed(nothing).count() == 0
