@@ -23,9 +23,13 @@ def compact(x: Column) -> Column:
     return F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"(?U)\s+", "")
 
 
+# Marks that don't count in leak checks.
+MARKS = "，。、；：？！“”‘’（）【】《》,.;:?!\"'()\\[\\]<>\\-—_·"
+
+
 def strong_form(x: Column) -> Column:
-    """For leak checks: no white space, punctuation or dashes, upper case."""
-    return F.upper(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s\p{Punct}‐-―、。·]+", ""))
+    """For leak checks, in any script: no white space, marks or dashes, upper case."""
+    return F.upper(F.regexp_replace(F.coalesce(x, F.lit("")), rf"(?U)[\s{MARKS}]+", ""))
 
 
 def strong_form_ascii(x: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .running import ranked
 
-from ..functions.text import compact, digits_form, let, strong_form_ascii
+from ..functions.text import compact, digits_form, let, strong_form
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -80,35 +80,51 @@ def tiers(cells: DataFrame) -> DataFrame:
     return cells.groupBy("format").agg(t.alias("tier"), F.count_if("passed").alias("passed"), F.count("*").alias("cells"))
 
 
-#: Letters and digits of the pieces by which originals and products are joined; one in so many pieces is used, by its hash.
-GRAM, SAMPLE = 24, 8
+#: Bytes of the pieces by which originals and products are joined; one in so many pieces is used, by its hash. Most originals without one that are broadcast.
+GRAM, SAMPLE, SHORT = 24, 8, 1000
 
 
-def leaks(originals: DataFrame, products: DataFrame, least: int = 4) -> DataFrame:
-    """(doc_id, item_id) where a product's normalised text contains a normalised original.
+def _pieces(form: Column, size: int, sample: int) -> Column:
+    """Hashes of all pieces of so many bytes, of one in `sample`."""
+
+    def used(raw: Column) -> Column:
+        at = F.when(F.octet_length(raw) >= size, F.sequence(F.lit(1), F.octet_length(raw) - size + 1))
+        hashes = F.transform(at, lambda i: F.xxhash64(F.substring(raw, i, F.lit(size))))
+        return hashes if sample == 1 else F.filter(hashes, lambda h: F.pmod(h, F.lit(sample)) == 0)
+
+    return let(form.cast("binary"), used)  # once for all positions; as bytes, for positions in strings are counted from the start
+
+
+def leaks(originals: DataFrame, products: DataFrame, least: int = 4, short: int = SHORT) -> DataFrame:
+    """(doc_id, item_id) where a product's normalised text contains a normalised original, in any script.
 
     Originals of the same normalised form are compared once. The pairs are
     limited by a shared piece of the normalised form: a product that contains
     an original has all its pieces, wherever words are broken or joined, and
     which pieces are used depends on them alone. Originals without a used piece
-    (shorter than one, or by chance) are broadcast.
+    (shorter than one, or by chance) are broadcast if they are at most `short`;
+    more of them are joined by their first bytes, as many as a piece or all.
     """
-    items = originals.select("item_id", strong_form_ascii(F.col("text")).alias("o")).where(F.char_length("o") >= least)
-    texts = products.select("doc_id", strong_form_ascii(F.col("text")).alias("p"))
-
-    def pieces(form: Column) -> Column:
-        def used(raw: Column) -> Column:
-            at = F.when(F.octet_length(raw) >= GRAM, F.sequence(F.lit(1), F.octet_length(raw) - GRAM + 1))
-            return F.filter(F.transform(at, lambda i: F.xxhash64(F.substring(raw, i, F.lit(GRAM)))), lambda h: F.pmod(h, F.lit(SAMPLE)) == 0)
-
-        return let(form.cast("binary"), used)  # once for all positions; as bytes, for positions in strings are counted from the start
-
-    forms = items.select("o").distinct().select("o", F.array_min(pieces(F.col("o"))).alias("piece"))
-    own = texts.select("doc_id", F.explode(F.array_distinct(pieces(F.col("p")))).alias("piece"))
-    near = own.join(forms.where(F.col("piece").isNotNull()), "piece").select(F.col("doc_id").alias("near_id"), "o").distinct()
-    long = near.join(texts, F.col("near_id").eqNullSafe(F.col("doc_id"))).where(F.col("p").contains(F.col("o"))).select("doc_id", "o")
-    short = texts.join(F.broadcast(forms.where(F.col("piece").isNull())), F.col("p").contains(F.col("o"))).select("doc_id", "o")
-    return long.union(short).join(items, "o").select("doc_id", "item_id").distinct()
+    items = originals.select("item_id", strong_form(F.col("text")).alias("o")).where(F.char_length("o") >= least)
+    texts = products.select("doc_id", strong_form(F.col("text")).alias("p"))
+    forms = items.select("o").distinct().select("o", F.array_min(_pieces(F.col("o"), GRAM, SAMPLE)).alias("piece"))
+
+    def met(probes: DataFrame, keyed: DataFrame, by: list[str]) -> DataFrame:
+        near = probes.join(keyed, by).select(F.col("doc_id").alias("near_id"), "o").distinct()
+        return near.join(texts, F.col("near_id").eqNullSafe(F.col("doc_id"))).where(F.col("p").contains(F.col("o"))).select("doc_id", "o")
+
+    probes = texts.select("doc_id", F.explode(F.array_distinct(_pieces(F.col("p"), GRAM, SAMPLE))).alias("piece"))
+    found = met(probes, forms.where(F.col("piece").isNotNull()), ["piece"])
+    rest = forms.where(F.col("piece").isNull()).select("o", F.least(F.octet_length("o"), F.lit(GRAM)).alias("size"))
+    sizes = rest.groupBy("size").count().collect()  # at most GRAM rows
+    if sum(r["count"] for r in sizes) <= short:
+        found = found.union(texts.join(F.broadcast(rest), F.col("p").contains(F.col("o"))).select("doc_id", "o"))
+    else:
+        keyed = rest.withColumn("piece", F.xxhash64(F.substring(F.col("o").cast("binary"), F.lit(1), F.col("size"))))
+        for r in sizes:
+            probes = texts.select("doc_id", F.explode(F.array_distinct(_pieces(F.col("p"), r["size"], 1))).alias("piece"))
+            found = found.union(met(probes, keyed.where(F.col("size") == r["size"]), ["piece"]))
+    return found.join(items, "o").select("doc_id", "item_id").distinct()
 
 
 def admitted(entries: DataFrame, types: list[str]) -> DataFrame:

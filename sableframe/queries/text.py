@@ -158,7 +158,7 @@ QUERIES = {
 _MASK = "text"
 for _kind, _pattern in e.PATTERNS.items():
     _MASK = f"regexp_replace({_MASK}, '{_pattern}', '<{_kind}>', 'gi')"
-_STRONG = "upper(regexp_replace({x}, '[^0-9A-Za-z]+', '', 'g'))"
+_STRONG = "upper(regexp_replace({x}, '[\\s" + t.MARKS.replace("'", "''") + "]+', '', 'g'))"
 _BARE = "regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
 for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     _BARE = f"replace({_BARE}, '{_name}', '{_char}')"

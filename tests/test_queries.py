@@ -51,19 +51,24 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 150
 
 
-def test_leaks_across_broken_words(spark):
+@pytest.mark.parametrize("short", [1000, 0])
+def test_leaks_across_broken_words(spark, short):
     from sableframe.operators.evaluate import leaks
 
     passage = "The committee published comprehensive information about foo-bar"
-    items = [(1, passage), (2, "abcd"), (3, "abc"), (4, passage.upper()), (5, "x" * 24), (6, None)]
+    items = [
+        (1, passage), (2, "abcd"), (3, "abc"), (4, passage.upper()), (5, "x" * 24), (6, None), (7, "江苏省南京市，鼓楼区"), (8, "张三 李四"), (9, "Straße—Größe"), (10, "@#$%^"),
+        (11, "甲方：信尔胜机械（江苏）有限公司与乙方签订的合同"),
+    ]
     docs = [
-        (1, "..the committee pub-\nlished compre hensive informa-tion aboutfoobar!"), (2, "xabcdy"), (3, passage[1:]), (4, None),
-        (None, f"a {passage} b"), (6, "ab" + "x" * 23), (6, "y" + "x" * 24), (7, "a b c d"),
+        (1, "..the committee pub-\nlished compre hensive informa-tion aboutfoobar!"), (2, "xabcdy"), (3, passage[1:]), (4, None), (11, "江苏省南京市 鼓楼区。张三、李\n四"), (12, "straße Größe"),
+        (None, f"a {passage} b"), (6, "ab" + "x" * 23), (6, "y" + "x" * 24), (7, "a b c d"), (13, "a@#$%^b"), (14, "甲方:信尔胜 机械(江苏)有限公司\u3000与乙方签\n订的合同"), (15, "江苏省南京鼓楼区"),
     ]
+    marks = set("，。、；：？！“”‘’（）【】《》,.;:?!\"'()[]<>-—_·")
 
     def form(x):
-        return "".join(c for c in x or "" if c.isascii() and c.isalnum()).upper()
+        return "".join(c for c in x or "" if not c.isspace() and c not in marks).upper()
 
     want = {(d, i) for d, p in docs for i, o in items if len(form(o)) >= 4 and form(o) in form(p)}
-    found = leaks(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert len(found) == len(want) == 7 and {tuple(r) for r in found} == want
+    found = leaks(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), short=short).collect()
+    assert len(found) == len(want) == 12 and {tuple(r) for r in found} == want
