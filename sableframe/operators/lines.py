@@ -1,0 +1,85 @@
+"""Text lines on pages: neighbouring blocks of one line joined, and the hull of a page's text.
+
+Blocks are rows (page, box_id, text, left, top, width, height, confidence) in
+whole pixels. Neighbours are found by cells of a grid whose size follows from a
+page's tallest block, so a block meets those near it and not its whole page.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import compact
+
+# What is one line, how far apart blocks may be, the short names that are joined, and what is too tall for text.
+OVERLAP, CENTERS = 0.35, 0.65
+GAP_LEAST, GAP_HEIGHTS = 28, 3.2
+LEFT_SIZES, RIGHT_SIZES, BOTH_MOST, LEFT_CJK, RIGHT_CJK = (2, 6), (4, 24), 30, 2, 3
+TALL, ASPECT, LEAST_HEIGHT, CONFIDENCE = 2.4, 1.8, 4, 0.95
+
+
+def cjk_count(x: Column) -> Column:
+    return F.regexp_count(x, F.lit("[一-鿿]"))
+
+
+def text_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks with text that isn't a table and isn't much taller than the page's lines, with `key`, their text without white space."""
+    flat = (F.col("height") > LEAST_HEIGHT) & (F.col("width") > F.col("height")) & ~F.ltrim(F.coalesce("text", F.lit(""))).rlike("^<(table|div)")
+    typical = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY height)")
+    usual = blocks.where(flat).groupBy(F.col("page").alias("_page")).agg(typical.alias("_usual"))
+    rows = blocks.join(usual, F.col("page") == F.col("_page"), "left").withColumn("key", compact(F.col("text")))
+    tall = (F.col("height") > F.col("_usual") * TALL) & (F.col("width") < F.col("height") * ASPECT)
+    return rows.where((F.col("key") != "") & ~F.ltrim("text").startswith("<table") & ~F.coalesce(tall, F.lit(False))).drop("_page", "_usual")
+
+
+def neighbours(blocks: DataFrame) -> DataFrame:
+    """Pairs (a, b: structs) of one line where `b` starts after `a` ends and not too far from it."""
+    most = blocks.groupBy("page").agg(F.greatest(F.max("height"), F.lit(1)).cast("int").alias("_high"))
+    sized = blocks.join(most, "page").withColumn("_wide", F.greatest(F.lit(GAP_LEAST), F.floor(F.col("_high") * GAP_HEIGHTS)))
+    middle = F.floor((F.col("top") + F.col("height") / 2) / F.col("_high"))
+    whole = F.struct(*blocks.columns)
+    after = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.floor((F.col("left") + F.col("width")) / F.col("_wide")) + i)
+    lefts = sized.select("page", whole.alias("a"), middle.alias("_y"), F.explode(after).alias("_cx")).select("page", "a", "_cx", F.explode(F.array(F.col("_y") - 1, F.col("_y"), F.col("_y") + 1)).alias("_cy"))
+    rights = sized.select("page", whole.alias("b"), F.floor(F.col("left") / F.col("_wide")).alias("_cx"), middle.alias("_cy"))
+    pairs = lefts.join(rights, ["page", "_cx", "_cy"])
+    ha, hb = F.col("a.height"), F.col("b.height")
+    overlap = F.least(F.col("a.top") + F.greatest(ha, F.lit(1)), F.col("b.top") + F.greatest(hb, F.lit(1))) - F.greatest("a.top", "b.top")
+    one_line = ((overlap > 0) & (overlap / F.greatest(F.least(ha, hb), F.lit(1)) >= OVERLAP)) | (F.abs(F.col("a.top") + ha / 2 - F.col("b.top") - hb / 2) <= F.greatest(ha, hb) * CENTERS)
+    gap = F.col("b.left") - F.col("a.left") - F.col("a.width")
+    near = (gap >= 0) & (gap <= F.greatest(F.lit(GAP_LEAST), F.floor(F.greatest(ha, hb, F.lit(1)) * GAP_HEIGHTS)))
+    return pairs.where((F.col("b.left") > F.col("a.left")) & one_line & near).select("page", "a", "b")
+
+
+def bridged(blocks: DataFrame) -> DataFrame:
+    """page, left_id, right_id, text, left, top, width, height, confidence: short names joined with the nearest block to their right.
+
+    A text is joined once on a page, where it comes first from the left.
+    """
+    plain = F.col("key").rlike(r"(?U)^[\p{L}\p{N}]+$")
+    n = F.char_length("key")
+    rows = text_blocks(blocks).where(plain)
+    left = n.between(*LEFT_SIZES) & ~F.col("key").rlike(r"(?U)\d") & (cjk_count(F.col("key")) >= LEFT_CJK)
+    right = n.between(*RIGHT_SIZES) & (cjk_count(F.col("key")) >= RIGHT_CJK)
+    pairs = neighbours(rows.withColumns({"as_left": left, "as_right": right}).where("as_left OR as_right"))
+    pairs = pairs.where(F.col("a.as_left") & F.col("b.as_right") & (F.char_length("a.key") + F.char_length("b.key") <= BOTH_MOST))
+    nearest = pairs.groupBy("page", F.col("a.box_id").alias("left_id")).agg(F.first("a").alias("a"), F.min_by("b", F.struct("b.left", "b.top", "b.box_id")).alias("b"))
+    text = F.concat("a.key", "b.key")
+    first = Window.partitionBy("page", "text").orderBy("a.left", "a.top", "left_id")
+    once = nearest.withColumn("text", text).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    x, y = F.least("a.left", "b.left"), F.least("a.top", "b.top")
+    return once.select(
+        "page", "left_id", F.col("b.box_id").alias("right_id"), "text", x.alias("left"), y.alias("top"),
+        (F.greatest(F.col("a.left") + F.col("a.width"), F.col("b.left") + F.col("b.width")) - x).alias("width"),
+        (F.greatest(F.col("a.top") + F.col("a.height"), F.col("b.top") + F.col("b.height")) - y).alias("height"),
+        (F.least("a.confidence", "b.confidence") * CONFIDENCE).alias("confidence"),
+    )
+
+
+def hulls(blocks: DataFrame, least: int = 2) -> DataFrame:
+    """page, left, top, right, bottom and em (upper median height) of the blocks with so many letters or more."""
+    solid = blocks.where(F.char_length(compact(F.col("text"))) >= least)
+    em = F.element_at(F.sort_array(F.collect_list("height")), (F.floor(F.count("*") / 2) + 1).cast("int"))
+    return solid.groupBy("page").agg(
+        F.min("left").alias("left"), F.min("top").alias("top"), F.max(F.col("left") + F.col("width")).alias("right"), F.max(F.col("top") + F.col("height")).alias("bottom"), em.alias("em")
+    )

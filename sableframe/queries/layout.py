@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as b
 from ..operators import entities as e
+from ..operators import lines as n
 from ..operators import organisations as o
 from ..operators import recognition as r
 from ..operators import runs as s
@@ -134,7 +135,27 @@ def organisation_aliases(spark: SparkSession, d: str) -> DataFrame:
     return o.alias_links(names).select(F.col("doc_id").alias("nation"), "alias", "full")
 
 
-QUERIES = {f.__name__: f for f in (organisation_rules, organisation_aliases, block_places, table_grid, document_chunks, chunk_spans, recognised_entities, styled_runs, preview_segments)}
+def _page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Four numbers of each embedding as a block of a page of 50, its id in letters as the text."""
+    part = [F.abs(F.get("embedding", i).cast("double")) - F.floor(F.abs(F.get("embedding", i).cast("double"))) for i in range(4)]
+    name = F.translate(F.col("vec_id").cast("string"), "0123456789", "零一二三四五六七八九")
+    text = F.when(F.col("vec_id") % 2 == 0, name).when(F.col("vec_id") % 11 == 0, F.concat(F.lit("<table>"), name)).otherwise(F.concat(name, F.lit(" 科技"), name))
+    return load(spark, d, "embeddings").select(
+        F.floor(F.col("vec_id") / 50).alias("page"), F.col("vec_id").alias("box_id"), text.alias("text"), F.floor(part[0] * 900).cast("int").alias("left"), (F.floor(part[1] * 60) * 12).cast("int").alias("top"),
+        (20 + F.floor(part[3] * 120)).cast("int").alias("width"), (10 + F.floor(part[2] * 6) + F.when(F.col("vec_id") % 17 == 0, 40).otherwise(0)).cast("int").alias("height"), F.round(part[0], 3).alias("confidence"),
+    )
+
+
+def visual_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Short names joined with the nearest block to their right on the line."""
+    return n.bridged(_page_blocks(spark, d)).select("page", "left_id", "right_id", "text", "left", "top", "width", "height", F.round("confidence", 6).alias("confidence"))
+
+
+def text_hulls(spark: SparkSession, d: str) -> DataFrame:
+    return n.hulls(_page_blocks(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (visual_lines, text_hulls, organisation_rules, organisation_aliases, block_places, table_grid, document_chunks, chunk_spans, recognised_entities, styled_runs, preview_segments)}
 
 _TRIM = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 _PLAIN = r"""regexp_replace(regexp_replace(regexp_replace({x}, '\\(?:text|mathrm|mathbf|mathit|textbf|operatorname)\s*\{{([^{{}}]*)\}}', '\1', 'g'), '\\[()\[\]]|\$', '', 'g'), '\\[,;:! ]', ' ', 'g')"""
@@ -169,6 +190,14 @@ z AS (
   SELECT n.doc_id, n.nth, n.start, n.stop, n.replacement, CASE WHEN n.start >= z.past THEN n.stop ELSE z.past END, n.start >= z.past FROM z JOIN n ON n.doc_id = z.doc_id AND n.nth = z.nth + 1),
 k AS (SELECT doc_id, start, stop, replacement FROM z WHERE keep)"""
 
+_PARTS = [f"(abs(embedding[{i + 1}]::DOUBLE) - floor(abs(embedding[{i + 1}]::DOUBLE)))" for i in range(4)]
+_PAGE_BLOCKS = f"""
+WITH x AS (SELECT *, translate(vec_id::VARCHAR, '0123456789', '零一二三四五六七八九') AS name FROM embeddings),
+b AS (SELECT vec_id // 50 AS page, vec_id AS box_id, CASE WHEN vec_id % 2 = 0 THEN name WHEN vec_id % 11 = 0 THEN '<table>' || name ELSE name || ' 科技' || name END AS text,
+  floor({_PARTS[0]} * 900)::INT AS left, (floor({_PARTS[1]} * 60) * 12)::INT AS top, (20 + floor({_PARTS[3]} * 120))::INT AS width, (10 + floor({_PARTS[2]} * 6) + CASE WHEN vec_id % 17 = 0 THEN 40 ELSE 0 END)::INT AS height,
+  round({_PARTS[0]}, 3) AS confidence FROM x)"""
+
+
 def _list(words: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -291,8 +320,24 @@ WITH n AS (
   SELECT DISTINCT c_nationkey::BIGINT AS nation, unnest([c_mktsegment || ' works ' || c_custkey || ' company limited',
     CASE WHEN c_custkey % 3 = 0 THEN '(' || regexp_replace(c_mktsegment, '[AEIOU]$', '') || ' works ' || c_custkey || ')' END]) AS text FROM customer),
 k AS (SELECT nation, text, trim(regexp_replace(text, '\\s+', '', 'g'), ' ，。；;、()（）[]【】') AS key FROM n WHERE text IS NOT NULL),
-p AS (SELECT a.nation, a.text AS alias, b.text AS full, a.key AS short, b.key AS long FROM k a JOIN k b ON a.nation = b.nation AND length(b.text) > length(a.text) WHERE length(a.key) >= 4),
+p AS (SELECT a.nation, a.text AS alias, b.text AS whole, a.key AS short, b.key AS long FROM k a JOIN k b ON a.nation = b.nation AND length(b.text) > length(a.text) WHERE length(a.key) >= 4),
 s AS (SELECT *, list_reduce(list_prepend({'at': 0, 'hit': 0, 'c': ''}, list_transform(string_split(short, ''), lambda c: {'at': 0, 'hit': 0, 'c': c})),
   lambda z, y: CASE WHEN strpos(substr(long, CAST(z.at AS BIGINT) + 1), y.c) > 0 THEN {'at': CAST(z.at + strpos(substr(long, CAST(z.at AS BIGINT) + 1), y.c) AS INT), 'hit': z.hit + 1, 'c': ''} ELSE {'at': z.at, 'hit': z.hit, 'c': ''} END).hit AS hit FROM p)
-SELECT nation, alias, (max({'n': length(full), 'f': full})).f AS full FROM s WHERE hit / length(short) >= 0.9 GROUP BY nation, alias""",
+SELECT nation, alias, struct_extract(max(struct_pack(n := length(whole), f := whole)), 'f') AS "full" FROM s WHERE hit / length(short) >= 0.9 GROUP BY nation, alias""",
+    "visual_lines": _PAGE_BLOCKS + r"""
+, u AS (SELECT page, quantile_disc(height, 0.5) AS usual FROM b WHERE height > 4 AND width > height AND NOT regexp_matches(ltrim(text), '^<(table|div)') GROUP BY page),
+t AS (SELECT b.*, regexp_replace(text, '\s+', '', 'g') AS key FROM b LEFT JOIN u USING (page) WHERE NOT starts_with(ltrim(text), '<table') AND NOT coalesce(height > usual * 2.4 AND width < height * 1.8, FALSE)),
+p AS (
+  SELECT a.page, a.box_id AS left_id, c.box_id AS right_id, a.key || c.key AS text, a.left AS al, a.top AS at_, a.width AS aw, a.height AS ah, c.left AS cl, c.top AS ct, c.width AS cw, c.height AS ch, least(a.confidence, c.confidence) * 0.95 AS confidence
+  FROM t a JOIN t c ON a.page = c.page AND c.left > a.left
+  WHERE length(a.key) BETWEEN 2 AND 6 AND length(c.key) BETWEEN 4 AND 24 AND length(a.key) + length(c.key) <= 30
+    AND c.left - a.left - a.width BETWEEN 0 AND greatest(28, CAST(floor(greatest(a.height, c.height, 1) * 3.2) AS INT))
+    AND ((least(a.top + greatest(a.height, 1), c.top + greatest(c.height, 1)) - greatest(a.top, c.top)) / greatest(least(a.height, c.height), 1) >= 0.35
+      OR abs(a.top + a.height / 2 - c.top - c.height / 2) <= greatest(a.height, c.height) * 0.65)),
+n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY page, left_id ORDER BY cl, ct, right_id) = 1),
+o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY page, text ORDER BY al, at_, left_id) = 1)
+SELECT page, left_id, right_id, text, least(al, cl) AS left, least(at_, ct) AS top, greatest(al + aw, cl + cw) - least(al, cl) AS width, greatest(at_ + ah, ct + ch) - least(at_, ct) AS height, round(confidence, 6) AS confidence FROM o""",
+    "text_hulls": _PAGE_BLOCKS + r"""
+SELECT page, min(b.left) AS "left", min(b.top) AS top, max(b.left + b.width) AS "right", max(b.top + b.height) AS bottom, list_sort(list(height))[CAST(count(*) // 2 AS INT) + 1] AS em
+FROM b WHERE length(regexp_replace(text, '\s+', '', 'g')) >= 2 GROUP BY page""",
 }
