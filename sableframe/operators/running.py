@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,15 +32,22 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str) -> Data
     return running_sum(df, by, order, F.lit(1).cast("long"), name)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows as written to the folder that `spark.checkpoint.dir` names, so that what made them runs once.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names.
 
     A session in one process (as in tests) may leave it unset and gets a
     temporary folder; elsewhere that is an error.
     """
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sableframe-"))
+        folder = tempfile.mkdtemp(prefix="sableframe-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as written to the shared folder, so that what made them runs once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

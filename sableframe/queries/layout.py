@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks as b
 from ..operators import entities as e
 from ..operators import lines as n
+from ..operators import passes as p
 from ..operators import organisations as o
 from ..operators import recognition as r
 from ..operators import runs as s
+from ..operators.running import shared_folder
+from ..streaming import export as x
 from ..operators import tables as t
 from .tabular import load
 from .text import _spans_sql
@@ -155,7 +160,31 @@ def text_hulls(spark: SparkSession, d: str) -> DataFrame:
     return n.hulls(_page_blocks(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (visual_lines, text_hulls, organisation_rules, organisation_aliases, block_places, table_grid, document_chunks, chunk_spans, recognised_entities, styled_runs, preview_segments)}
+def multi_pass_union(spark: SparkSession, d: str) -> DataFrame:
+    """Words of a document, one a pass, until a pass finds one that is known or none."""
+
+    def ask(some: DataFrame, number: int) -> DataFrame:
+        words = F.split("text", " ")
+        return some.select("doc_id", F.lit("WORD").alias("type"), F.element_at(words, (F.lit(number * number) % F.size(words) + 1).cast("int")).alias("value"))
+
+    found = p.union_of_passes(load(spark, d, "documents").select("doc_id", "text"), ask, 5)
+    return found.select("doc_id", "value", "pass")
+
+
+def incremental_export(spark: SparkSession, d: str) -> DataFrame:
+    """Orders arriving in four files, each row twice, exported as they come: what the ledger has, by status."""
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    orders = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"), F.unix_date(F.col("o_orderdate").cast("date")).alias("version"))
+    for k in range(4):  # a quarter of the keys, and again those of the quarter before
+        orders.where(F.pmod("o_orderkey", F.lit(4)).isin(k, (k - 1) % 4)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    schema = "o_orderkey bigint, o_orderstatus string, o_totalprice decimal(12,2), version int"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    x.export(x.versions(stream, ["o_orderkey"], "version"), f"{folder}/out", f"{folder}/marks")
+    rows = x.exported(spark, f"{folder}/out", schema)
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_keys"), F.sum("o_totalprice").cast("double").alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (multi_pass_union, incremental_export, visual_lines, text_hulls, organisation_rules, organisation_aliases, block_places, table_grid, document_chunks, chunk_spans, recognised_entities, styled_runs, preview_segments)}
 
 _TRIM = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 _PLAIN = r"""regexp_replace(regexp_replace(regexp_replace({x}, '\\(?:text|mathrm|mathbf|mathit|textbf|operatorname)\s*\{{([^{{}}]*)\}}', '\1', 'g'), '\\[()\[\]]|\$', '', 'g'), '\\[,;:! ]', ' ', 'g')"""
@@ -340,4 +369,12 @@ SELECT page, left_id, right_id, text, least(al, cl) AS left, least(at_, ct) AS t
     "text_hulls": _PAGE_BLOCKS + r"""
 SELECT page, min(b.left) AS "left", min(b.top) AS top, max(b.left + b.width) AS "right", max(b.top + b.height) AS bottom, list_sort(list(height))[CAST(count(*) // 2 AS INT) + 1] AS em
 FROM b WHERE length(regexp_replace(text, '\s+', '', 'g')) >= 2 GROUP BY page""",
+    "multi_pass_union": """
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+p AS (SELECT doc_id, k, w[CAST((k * k) % len(w) AS INT) + 1] AS value FROM (SELECT doc_id, w, unnest(range(5)) AS k FROM w)),
+f AS (SELECT *, value != '' AND NOT EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND q.k < p.k AND q.value = p.value) AS new FROM p),
+stop AS (SELECT doc_id, min(k) FILTER (k > 0 AND NOT new) AS at_ FROM f GROUP BY doc_id)
+SELECT doc_id, value, CAST(k AS INT) AS pass FROM f JOIN stop USING (doc_id) WHERE new AND k < coalesce(at_, 9)""",
+    "incremental_export": """
+SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_orderkey) AS n_keys, CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) AS total FROM orders GROUP BY 1""",
 }
