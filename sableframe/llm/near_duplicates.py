@@ -260,10 +260,11 @@ def buckets(keyed: DataFrame, idf) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """(h, key, total): of each text the rarest shingles that hold more than 1 - threshold of its whole weight.
+    """(h, key, total, rest): of each text the rarest shingles that hold more than 1 - threshold of its whole weight.
 
     Rarity is that among these texts, by slots, then the hash: any order serves
-    that is the same for all of them.
+    that is the same for all of them. `rest` is the weight of a shingle and all
+    after it.
     """
     counts = texts.sparkSession.sparkContext.broadcast(slot_sums(texts))
 
@@ -278,9 +279,10 @@ def prefixes(texts: DataFrame, idf, threshold: float) -> DataFrame:
             first = np.repeat(before[np.minimum(np.cumsum(sizes) - sizes, max(len(w) - 1, 0))], sizes) if len(w) else before
             kept = before - first <= (1 - threshold + ROUNDING) * total[owner]
             keys = block.column("key").take(pa.array(owner[kept]))
-            yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), keys, pa.array(total[owner[kept]])], names=["h", "key", "total"])
+            rest = (total[owner] - (before - first))[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(h[kept].view(np.int64)), keys, pa.array(total[owner[kept]]), pa.array(rest)], names=["h", "key", "total", "rest"])
 
-    return texts.select("key", "text").mapInArrow(run, "h long, key binary, total double")
+    return texts.select("key", "text").mapInArrow(run, "h long, key binary, total double, rest double")
 
 
 # -- links ------------------------------------------------------------------
@@ -399,9 +401,13 @@ def rooted(docs: DataFrame, threshold: float = THRESHOLD, slack: float | None =
     if active.isEmpty():
         return roots
     rare = prefixes(texts.join(active, "key", "left_semi"), idf, threshold)
-    rare = checkpointed(rare.join(active, "key")).join(sketches, "key")
-    pairs = rare.join(prefixed(rare, "h", "key", "root", "total", *SKETCH).withColumnRenamed("a_h", "h"), "h")
-    alike = F.least("total", "a_total") >= (threshold - ROUNDING) * F.greatest("total", "a_total")
+    rare = checkpointed(rare.join(active, "key"))
+    met = rare.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    rare = rare.join(met, "h").join(sketches, "key")
+    pairs = rare.join(prefixed(rare, "h", "key", "root", "total", "rest", *SKETCH).withColumnRenamed("a_h", "h"), "h")
+    # At the first shingle that both have, what is left of each must hold all that they share.
+    least = (threshold - ROUNDING) / (1 + threshold)
+    alike = (F.least("total", "a_total") >= (threshold - ROUNDING) * F.greatest("total", "a_total")) & (F.least("rest", "a_rest") >= least * (F.col("total") + F.col("a_total")))
     verify(pairs.where((F.col("key") < F.col("a_key")) & (F.col("root") != F.col("a_root")) & alike & plausible("a_", threshold, slack)))
     return roots
 
