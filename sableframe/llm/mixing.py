@@ -12,7 +12,8 @@ twice more from the ranks of texts short enough for the remainder.
 
 Random numbers come from a hash of the seed and the id, so reruns agree. No
 source is sorted whole: sums by steps of the logarithm of the odds find the step
-in which a sample ends, and only texts of that step are sorted.
+in which a sample ends, and only texts of that step are sorted. Sums by source
+are broadcast only if there are few sources.
 
 Null and empty texts have size 0 and aren't taken. A null source is a source,
 the last one; a null id hashes as empty. Rows that repeat id, source and size
@@ -37,6 +38,12 @@ WEIGHTS, MOST = (5, 2, 1), 3
 SEED = "mix"
 #: Steps for each unit of the logarithm of the odds (a step has 1/4096 of a source's texts at most), and rounds of a sample.
 STEPS, ROUNDS = 1024, 3
+#: Sources whose sums are broadcast (some rows of numbers each); more of them are joined by shuffles.
+BROADCAST_SOURCES = 20_000
+
+
+def small(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
@@ -91,7 +98,7 @@ def expected(units: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
     return judged.select("number", "digits", "certain", (F.col("expected") - F.col("certain")).alias("chance"), need.alias("need"))
 
 
-def sampled(units: DataFrame) -> DataFrame:
+def sampled(units: DataFrame, few: bool = False) -> DataFrame:
     """`extra` and `need` after one more round: the first units by odds whose words are within `need`.
 
     Only units with size <= need take part, with the copies that aren't taken yet.
@@ -103,7 +110,7 @@ def sampled(units: DataFrame) -> DataFrame:
     sums = cut.where("step IS NOT NULL").groupBy("number", "step").agg(F.sum(F.col("size") * left).alias("words"), F.max("need").alias("need"))
     sums = sums.withColumn("to", F.sum("words").over(Window.partitionBy("number").orderBy("step")))
     ends = sums.where(F.col("to") > F.col("need")).groupBy("number").agg(F.min("step").alias("end"), F.min(F.col("to") - F.col("words")).alias("before"))
-    marked = cut.join(ends, "number", "left")
+    marked = cut.join(small(ends, few), "number", "left")
     inside = F.col("step").isNotNull() & (F.col("step") == F.col("end"))
     last = marked.where(inside)
     earlier = Window.partitionBy("number").orderBy("odds", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +120,7 @@ def sampled(units: DataFrame) -> DataFrame:
     others = others.withColumn("more", F.when(F.col("step").isNotNull() & (F.col("end").isNull() | (F.col("step") < F.col("end"))), left).otherwise(0))
     both = others.unionByName(last).withColumn("extra", (F.col("extra") + F.col("more")).cast("long"))
     taken = both.groupBy("number").agg(F.sum(F.col("more") * F.col("size")).alias("words"))
-    return both.join(taken, "number").withColumn("need", F.col("need") - F.col("words")).select(*units.columns)
+    return both.join(small(taken, few), "number").withColumn("need", F.col("need") - F.col("words")).select(*units.columns)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, share: float = 1.0) -> DataFrame:
@@ -122,17 +129,18 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     units = checkpointed(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")))
     aims = targets(units.select("source", (F.col("size") * F.col("copies")).alias("size")), weights, most, share)
     aims = checkpointed(aims).withColumnRenamed("source", "_source")
-    known = units.join(aims, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
+    few = aims.count() <= BROADCAST_SOURCES
+    known = units.join(small(aims, few), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
     known = checkpointed(known.withColumn("digits", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0)))
 
     bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long")
     u = (bits + 0.5) / float(2**52)
     chances = expected(known, aims, most)
-    drawn = known.join(chances, ["number", "digits"], "left").fillna({"certain": 0, "chance": 0.0, "need": 0.0})
+    drawn = known.join(small(chances, few), ["number", "digits"], "left").fillna({"certain": 0, "chance": 0.0, "need": 0.0})
     odds = F.when(F.col("chance") > 0, (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance"))))
     drawn = drawn.withColumn("odds", odds).withColumn("extra", F.lit(0).cast("long"))
     for _ in range(ROUNDS):
-        drawn = checkpointed(sampled(drawn))
+        drawn = checkpointed(sampled(drawn, few))
     each = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     taken = F.col("size") * (F.col("certain") + F.when(F.col("copy") <= F.col("extra"), 1).otherwise(0))
     return each.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
