@@ -19,7 +19,8 @@
    than 1 - threshold of their weight. Two texts as alike as the threshold share
    one of these, whatever else they have (the prefix filter of set joins), so
    none is lost; what is common to all of them is in no such prefix unless a text
-   is little else, and then its leader has linked it.
+   is little else, and then its leader has linked it. Those that share such a
+   shingle meet a leader first, too.
 5. Only pairs whose sketches agree as often as the threshold says, less
    `SLACK` standard deviations, read their texts for the exact similarity
    (`slack=None` leaves this test out, so every pair of 4 is compared exactly).
@@ -61,8 +62,10 @@ SKETCH = [f"s{i}" for i in range(SKETCH_SAMPLES // 32)]
 SLACK = 4.0
 #: Texts of a bucket whose classes are all compared with each other.
 SMALL = 32
-#: What rounding may take from a similarity.
-ROUNDING = 1e-6
+#: Rows of a partition of what is left to compare.
+PARTITION_ROWS = 20_000
+#: What rounding may take from a similarity, and rounds in which texts with a rare shingle in common meet one leader before all of them meet.
+ROUNDING, STARS = 1e-6, 2
 
 
 def text_key(text: Column) -> Column:
@@ -322,11 +325,17 @@ def prefixed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"a_{c}") for c in names))
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A checkpoint of the rows in no more partitions than their number asks for: what is left to compare is soon small."""
+    rows = checkpointed(df)
+    return rows.coalesce(max(2, -(-rows.count() // PARTITION_ROWS)))
+
+
 def same_buckets(keyed: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
     """(bucket, key) of texts that share a bucket, and (key, text, sketch) of those texts."""
     members = buckets(keyed, idf)
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = checkpointed(members.join(shared, "bucket"))
+    members = gathered(members.join(shared, "bucket"))
     # One row for each text, found by its least id, so that rows with texts don't meet by key alone.
     places = keyed.groupBy("key").agg(F.min("place").alias("place")).join(members.select("key").distinct(), "key", "left_semi")
     texts = checkpointed(keyed.join(places, ["key", "place"], "left_semi").dropDuplicates(["key", "place"]).select("key", "text"))
@@ -338,7 +347,7 @@ def led(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     sized = placed.join(sizes, "bucket")
     central = sized.groupBy("key").agg(F.sum("size").alias("central"))
-    sized = checkpointed(sized.join(central, "key"))
+    sized = gathered(sized.join(central, "key"))
     names = ["key", "root"]
     first = sized.groupBy("bucket").agg(F.max(F.struct("central", *names)).alias("first"))
     return sized.drop("central"), first.select("bucket", *(F.col(f"first.{c}").alias(f"a_{c}") for c in names))
@@ -362,7 +371,7 @@ def rooted(docs: DataFrame, threshold: float = THRESHOLD, slack: float | None =
     idf = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
     keyed = docs.select(text_key(F.col("text")).alias("key"), "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("place"))
     members, texts = same_buckets(keyed, idf)
-    sketches = checkpointed(sketched(texts, idf))
+    sketches = gathered(sketched(texts, idf))
     roots: DataFrame | None = None
     done: list[DataFrame] = []
 
@@ -375,36 +384,38 @@ def rooted(docs: DataFrame, threshold: float = THRESHOLD, slack: float | None =
         pairs = named.groupBy("a", "b").agg(F.min("root_a").alias("root_a"), F.min("root_b").alias("root_b"))
         for before in done:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
+        pairs = gathered(pairs)
         if roots is not None and pairs.isEmpty():
             return
         done.append(pairs.select("a", "b"))
         like = similarities(with_texts(pairs.select("a", "b"), texts), idf).where(F.col("similarity") >= threshold).select("a", "b")
         # Only classes are linked from here on, so that later rounds don't go over earlier links again.
-        now = checkpointed(pairs.join(like, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+        now = gathered(pairs.join(like, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
         if roots is None:
             roots = components(now)
         elif not now.isEmpty():
             merged = components(now)
             moved = roots.join(merged.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
-            roots = checkpointed(moved.union(merged).repartition("key"))
+            roots = gathered(moved.union(merged))
 
     placed, leaders = led(of_several_classes(in_classes(members, roots)))
     led_pairs = placed.join(leaders, "bucket").where("root != a_root").select("key", "a_key", "root", "a_root").distinct()
     verify(led_pairs.join(sketches, "key").join(prefixed(sketches, "key", *SKETCH), "a_key").where(plausible("a_", threshold, slack)))
-    left = checkpointed(of_several_classes(in_classes(placed, roots)))
+    left = gathered(of_several_classes(in_classes(placed, roots)))
     few = left.where(F.col("size") <= small).select("bucket", "key", "root").join(sketches, "key")
     pairs = few.join(prefixed(few, "bucket", "key", "root", *SKETCH).withColumnRenamed("a_bucket", "bucket"), "bucket")
     verify(pairs.where((F.col("key") < F.col("a_key")) & (F.col("root") != F.col("a_root")) & plausible("a_", threshold, slack)))
     many = of_several_classes(in_classes(left.where(F.col("size") > small), roots))
-    active = checkpointed(many.select("key", "root").distinct())
+    active = gathered(many.select("key", "root").distinct())
     if active.isEmpty():
         return roots
-    rare = prefixes(texts.join(active, "key", "left_semi"), idf, threshold)
-    rare = checkpointed(rare.join(active, "key"))
-    met = rare.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    rare = rare.join(met, "h").join(sketches, "key")
-    pairs = rare.join(prefixed(rare, "h", "key", "root", "total", "rest", *SKETCH).withColumnRenamed("a_h", "h"), "h")
+    rare = gathered(prefixes(texts.join(active, "key", "left_semi"), idf, threshold).withColumnRenamed("h", "bucket"))
+    for _ in range(STARS):
+        placed, leaders = led(of_several_classes(in_classes(rare.select("bucket", "key"), roots)))
+        near = placed.join(leaders, "bucket").where("root != a_root").select("key", "a_key", "root", "a_root").distinct()
+        verify(near.join(sketches, "key").join(prefixed(sketches, "key", *SKETCH), "a_key").where(plausible("a_", threshold, slack)))
+    rare = gathered(of_several_classes(in_classes(rare, roots))).join(sketches, "key")
+    pairs = rare.join(prefixed(rare, "bucket", "key", "root", "total", "rest", *SKETCH).withColumnRenamed("a_bucket", "bucket"), "bucket")
     # At the first shingle that both have, what is left of each must hold all that they share.
     least = (threshold - ROUNDING) / (1 + threshold)
     alike = (F.least("total", "a_total") >= (threshold - ROUNDING) * F.greatest("total", "a_total")) & (F.least("rest", "a_rest") >= least * (F.col("total") + F.col("a_total")))
@@ -423,7 +434,7 @@ def components(pairs: DataFrame) -> DataFrame:
     def edge(u: str, v: str) -> Column:
         return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
 
-    edges = checkpointed(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = gathered(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         # Two rows out of each instead of unions, which would double the tasks and files of every shuffle.
@@ -433,6 +444,7 @@ def components(pairs: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = checkpointed(large.join(least, "u").select(both_ways(edge("u", "m"), edge("v", "m"))).where("u != v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = edges.coalesce(max(2, -(-now[0] // PARTITION_ROWS)))
         if now == before:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
         before = now
