@@ -14,6 +14,7 @@ from ..operators import passes as p
 from ..operators import organisations as o
 from ..operators import recognition as r
 from ..operators import runs as s
+from ..operators import validation as v
 from ..operators.running import shared_folder
 from ..streaming import export as x
 from ..operators import tables as t
@@ -184,7 +185,33 @@ def incremental_export(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_keys"), F.sum("o_totalprice").cast("double").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (multi_pass_union, incremental_export, visual_lines, text_hulls, organisation_rules, organisation_aliases, block_places, table_grid, document_chunks, chunk_spans, recognised_entities, styled_runs, preview_segments)}
+_SOP = "CASE WHEN k % 41 = 0 THEN '' WHEN k % 29 < 2 THEN concat('I', CAST(floor(k / 2) AS INT)) ELSE concat('I', k) END"
+
+
+def output_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as de-identified files with faults that follow from their keys, lines as their tags: every rule that one breaks."""
+    orders = load(spark, d, "orders").selectExpr("o_orderkey AS k", "o_custkey", "o_orderpriority")
+    files = orders.selectExpr(
+        "concat('f', k) AS path", "k % 37 != 0 AS readable", "concat('S', o_custkey) AS study_uid", "concat('R', k % 5) AS series_uid", f"{_SOP} AS sop_uid", "IF(k % 11 = 0, 'no', 'Yes') AS identity_removed",
+        "IF(k % 13 = 0, ' ', 'm') AS method", "CASE WHEN k % 7 = 0 THEN array() WHEN k % 2 = 0 THEN array('113100') ELSE array('113100', '113101') END AS method_codes",
+        "IF(k % 17 = 0, X'0001', X'0000') AS preamble", "concat('p', k % 4) AS pixel_sha256", "CASE WHEN k % 19 != 0 THEN IF(k % 23 = 0, array('1x1'), array('2x2', '2x2')) END AS frames",
+        "IF(k % 5 = 0, ' no ', 'YES') AS burned_in", "IF(k % 31 = 0, 'AE', NULL) AS source_ae", f"IF(k % 9 = 0, 'x', {_SOP}) AS meta_sop_uid",
+    )
+    expected = orders.where("k % 3 != 0").selectExpr(
+        "concat('f', k) AS path", "concat('S', o_custkey) AS study_uid", "IF(k % 25 = 1, 'R9', concat('R', k % 5)) AS series_uid", f"{_SOP} AS sop_uid", "concat('p', k % 3) AS pixel_sha256",
+        "k % 2 = 0 AS pixel_modified", "IF(k % 10 = 0, CAST(array() AS ARRAY<STRING>), array('2x2', '2x2')) AS frames", "CAST(k % 8 AS INT) AS regions", "array(o_orderpriority, 'ab') AS sensitive",
+    )
+    tags = load(spark, d, "lineitem").selectExpr(
+        "concat('f', l_orderkey) AS path", "element_at(array('0010,0010', '0009,1001', '0020,000D', '0008,0080', '0009,1010', '0010,4000', '0010,4000'), l_linenumber) AS tag",
+        "element_at(array('PatientName', '', 'StudyInstanceUID', 'InstitutionName', 'SafeKey', 'PatientComments', 'ImageComments'), l_linenumber) AS keyword",
+        "element_at(array('PN', 'LO', 'UI', 'LO', 'LO', 'LT', 'OB'), l_linenumber) AS vr",
+        "element_at(array(IF(l_partkey % 2 = 0, '1-URGENT', 'x'), 'v', concat('U', l_partkey % 40), '2-high', 'v', '1-urgent', '1-urgent'), l_linenumber) AS value",
+    )
+    uids = load(spark, d, "nation").selectExpr("concat('U', n_nationkey) AS original", "concat(IF(n_nationkey % 3 = 0, 'U', 'M'), n_nationkey) AS mapped")
+    return v.issues(files, tags, expected, uids, v.Policy(safe_private=("(0009,1010)",)))
+
+
+QUERIES = {f.__name__: f for f in (output_validation, multi_pass_union, incremental_export, visual_lines, text_hulls, organisation_rules, organisation_aliases, block_places, table_grid, document_chunks, chunk_spans, recognised_entities, styled_runs, preview_segments)}
 
 _TRIM = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 _PLAIN = r"""regexp_replace(regexp_replace(regexp_replace({x}, '\\(?:text|mathrm|mathbf|mathit|textbf|operatorname)\s*\{{([^{{}}]*)\}}', '\1', 'g'), '\\[()\[\]]|\$', '', 'g'), '\\[,;:! ]', ' ', 'g')"""
@@ -377,4 +404,34 @@ stop AS (SELECT doc_id, min(k) FILTER (k > 0 AND NOT new) AS at_ FROM f GROUP BY
 SELECT doc_id, value, CAST(k AS INT) AS pass FROM f JOIN stop USING (doc_id) WHERE new AND k < coalesce(at_, 9)""",
     "incremental_export": """
 SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_orderkey) AS n_keys, CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) AS total FROM orders GROUP BY 1""",
+    "output_validation": f"""
+WITH o AS (SELECT o_orderkey AS k, o_custkey, o_orderpriority FROM orders),
+f AS (SELECT k, 'f' || k AS path, {_SOP} AS sop, CASE WHEN k % 7 = 0 THEN [] WHEN k % 2 = 0 THEN ['113100'] ELSE ['113100', '113101'] END AS codes,
+    CASE WHEN k % 19 != 0 THEN CASE WHEN k % 23 = 0 THEN ['1x1'] ELSE ['2x2', '2x2'] END END AS frames, k % 3 != 0 AS asked, k % 3 != 0 AND k % 2 = 0 AS changed,
+    k % 3 != 0 AND k % 10 != 0 AS shapes, o_orderpriority FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN sop = '' THEN path ELSE sop END ORDER BY path) AS nth FROM f WHERE k % 37 != 0),
+t AS (SELECT 'f' || l_orderkey AS path, l_linenumber AS n, ['0010,0010', '0009,1001', '0020,000D', '0008,0080', '0009,1010', '0010,4000', '0010,4000'][l_linenumber] AS tag,
+    [CASE WHEN l_partkey % 2 = 0 THEN '1-URGENT' ELSE 'x' END, 'v', 'U' || l_partkey % 40, '2-high', 'v', '1-urgent', '1-urgent'][l_linenumber] AS value FROM lineitem),
+x AS (
+  SELECT path, 'OUTPUT_PARSE_FAILED' AS code, NULL AS tag FROM f WHERE k % 37 = 0
+  UNION ALL SELECT path, 'OUTPUT_SOP_UID_DUPLICATE_OR_MISSING', NULL FROM r WHERE sop = '' OR nth > 1
+  UNION ALL SELECT path, 'PATIENT_IDENTITY_REMOVED_FLAG_MISSING', '0012,0062' FROM r WHERE k % 11 = 0
+  UNION ALL SELECT path, 'DEIDENTIFICATION_METHOD_MISSING', '0012,0063' FROM r WHERE k % 13 = 0
+  UNION ALL SELECT path, 'BASIC_PROFILE_CODE_MISSING', '0012,0064' FROM r WHERE len(codes) = 0
+  UNION ALL SELECT path, 'NONZERO_PREAMBLE', NULL FROM r WHERE k % 17 = 0
+  UNION ALL SELECT path, 'OUTPUT_PIXEL_DECODE_FAILED', NULL FROM r WHERE shapes AND frames IS NULL
+  UNION ALL SELECT path, 'HIERARCHY_UID_MISMATCH', NULL FROM r WHERE asked AND k % 25 = 1
+  UNION ALL SELECT path, 'PIXEL_DATA_NOT_CHANGED_AFTER_REDACTION', NULL FROM r WHERE changed AND k % 4 = k % 3
+  UNION ALL SELECT path, 'PIXEL_DATA_CHANGED_UNEXPECTEDLY', NULL FROM r WHERE asked AND NOT changed AND k % 4 != k % 3
+  UNION ALL SELECT path, 'PIXEL_REDACTION_EVIDENCE_MISSING', NULL FROM r WHERE changed AND k % 8 = 0
+  UNION ALL SELECT path, 'BURNED_IN_ANNOTATION_NOT_CLEARED', '0028,0301' FROM r WHERE changed AND k % 5 != 0
+  UNION ALL SELECT path, 'CLEAN_PIXEL_DATA_CODE_MISSING', '0012,0064' FROM r WHERE changed AND NOT list_contains(codes, '113101')
+  UNION ALL SELECT path, 'PIXEL_FRAME_COUNT_CHANGED', NULL FROM r WHERE shapes AND len(frames) != 2
+  UNION ALL SELECT path, 'PIXEL_FRAME_SHAPE_CHANGED', NULL FROM r WHERE shapes AND frames != ['2x2', '2x2']
+  UNION ALL SELECT path, 'SOURCE_AE_TITLE_REMAINS', '0002,0016' FROM r WHERE k % 31 = 0
+  UNION ALL SELECT path, 'FILE_META_SOP_UID_MISMATCH', NULL FROM r WHERE k % 9 = 0
+  UNION ALL SELECT DISTINCT path, 'PRIVATE_TAG_REMAINS', tag FROM t SEMI JOIN r USING (path) WHERE n = 2
+  UNION ALL SELECT path, 'ORIGINAL_UID_REMAINS', tag FROM t SEMI JOIN r USING (path) WHERE n = 3 AND EXISTS (SELECT 1 FROM nation WHERE 'U' || n_nationkey = t.value AND n_nationkey % 3 != 0)
+  UNION ALL SELECT DISTINCT t.path, 'SOURCE_IDENTIFIER_VALUE_REMAINS', tag FROM t JOIN r ON r.path = t.path AND asked AND lower(o_orderpriority) = lower(t.value) WHERE n IN (1, 4))
+SELECT * FROM x""",
 }
