@@ -1,4 +1,4 @@
-"""Text lines on pages: neighbouring blocks of one line joined, and the hull of a page's text.
+"""Text lines on pages: neighbouring blocks of one line joined, the hull of a page's text, and blocks of two engines merged.
 
 Blocks are rows (page, box_id, text, left, top, width, height, confidence) in
 whole pixels. Neighbours are found by cells of a grid whose size follows from a
@@ -7,6 +7,10 @@ page's tallest block, so a block meets those near it and not its whole page.
 
 from __future__ import annotations
 
+import difflib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +87,97 @@ def hulls(blocks: DataFrame, least: int = 2) -> DataFrame:
     return solid.groupBy("page").agg(
         F.min("left").alias("left"), F.min("top").alias("top"), F.max(F.col("left") + F.col("width")).alias("right"), F.max(F.col("top") + F.col("height")).alias("bottom"), em.alias("em")
     )
+
+
+# -- blocks of two engines --------------------------------------------------
+
+# Overlaps that mean one place, and what makes a short field a finer reading of part of a block.
+SAME_PLACE, COVERED, OWNED = 0.5, 0.85, 0.5
+FIELD_SIZES, FIELD_MARKS = (4, 80), 4
+FINER_WIDTH, FINER_HEIGHT, FINER_ALIKE, FINER_WIDER, FINER_LONGER = 1.2, 2.2, 0.55, 1.1, 6
+MERGED = "page long, box_id long, text string, left int, top int, width int, height int, confidence double, has_chars boolean, extra boolean"
+
+
+def _relation(new: str, old: str) -> str | None:
+    """same: as many letters; part or whole: the shorter reading stands in the longer, letter for letter in order."""
+    if not new or not old:
+        return None
+    if len(new) == len(old):
+        return "same"
+    short, long = sorted((new, old), key=len)
+    shared = sum(m.size for m in difflib.SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks())
+    return None if shared < len(short) else "part" if short == new else "whole"
+
+
+def _finer(new: dict, old: dict) -> bool:
+    """Whether a short field with its label is a closer reading of a part of the block below it."""
+    a, b = "".join(new["text"].split()), "".join(old["text"].split())
+    marks = new["text"].count(":") + new["text"].count("：")
+    if not (FIELD_SIZES[0] <= len(a) <= FIELD_SIZES[1] and 1 <= marks <= FIELD_MARKS and new["width"] > 0 and new["height"] > 0) or not b or a == b:
+        return False
+    if new["width"] > old["width"] * FINER_WIDTH or new["height"] > old["height"] * FINER_HEIGHT:
+        return False
+    if a not in b and b not in a and difflib.SequenceMatcher(None, a, b).ratio() < FINER_ALIKE:
+        return False
+    return old["width"] > new["width"] * FINER_WIDER or len(b) > len(a) + FINER_LONGER
+
+
+def _verdict(new: dict, old: dict, iou: float, smaller: float, prefer: bool) -> str | None:
+    """What a block on the place of an earlier one does: adopt its text there, go, or (None) stay in question."""
+    relation = _relation("".join(new["text"].split()), "".join(old["text"].split()))
+    if prefer and old["has_chars"] and smaller > OWNED:
+        return "adopt" if relation == "same" else "drop"
+    if iou > SAME_PLACE and prefer and relation in ("same", "whole"):
+        return "adopt"
+    if iou > SAME_PLACE and relation in ("same", "part"):
+        return "drop"
+    return "drop" if iou > COVERED and not _finer(new, old) else None
+
+
+def _page(rows: list[dict], prefer: bool) -> list[dict]:
+    """A page's blocks after each extra one, in order, has met those before it; only blocks that it overlaps are looked at."""
+    coarse = [r["text"].lstrip().lower().startswith(("<table", "<html", "<div")) for r in rows]
+    some = any(r["extra"] for r in rows)
+    kept = [dict(r) for r, c in zip(rows, coarse, strict=True) if not r["extra"] and not (c and some)]
+    box = np.array([(r["left"], r["top"], r["left"] + r["width"], r["top"] + r["height"]) for r in kept] or np.zeros((0, 4)), np.int64).reshape(-1, 4)
+    for r, c in zip(rows, coarse, strict=True):
+        if not r["extra"] or c:
+            continue
+        own = np.array([r["left"], r["top"], r["left"] + r["width"], r["top"] + r["height"]])
+        side = np.maximum(np.minimum(box[:, 2:], own[2:]) - np.maximum(box[:, :2], own[:2]), 0)
+        both = side[:, 0] * side[:, 1]
+        areas, area = np.maximum(1, (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])), max(1, r["width"] * r["height"])
+        verdict = None
+        for i in np.flatnonzero(both).tolist():
+            verdict = _verdict(r, kept[i], both[i] / (areas[i] + area - both[i]), both[i] / min(areas[i], area), prefer)
+            if verdict == "adopt":
+                box[i] = (*np.minimum(box[i, :2], own[:2]), *np.maximum(box[i, 2:], own[2:]))
+                kept[i] |= {"text": r["text"], "left": int(box[i, 0]), "top": int(box[i, 1]), "width": int(box[i, 2] - box[i, 0]), "height": int(box[i, 3] - box[i, 1])}
+            if verdict:
+                break
+        if not verdict:
+            kept.append(dict(r))
+            box = np.vstack([box, own])
+    return kept
+
+
+def merged(primary: DataFrame, extra: DataFrame, prefer_extra: bool = False) -> DataFrame:
+    """Blocks of a page's first engine with those of a second one that it lacks, in order of box_id.
+
+    An extra block on the place of another goes, stays, or (`prefer_extra`)
+    gives it its text and widens its box; blocks with `has_chars` keep text that
+    has another number of letters. Each decision depends on those before it, so a
+    page is one group; pages without extra blocks don't go through Python.
+    """
+    named = [F.coalesce("text", F.lit("")).alias("text") if c == "text" else F.col(c) for c in ("page", "box_id", "text", "left", "top", "width", "height", "confidence", "has_chars")]
+    first, second = primary.select(*named).withColumn("extra", F.lit(False)), extra.select(*named).withColumn("extra", F.lit(True))
+    pages = second.select(F.col("page").alias("_page")).distinct()
+    alone = first.join(pages, F.col("page") == F.col("_page"), "left_anti")
+    names = [x.split()[0] for x in MERGED.split(", ")]
+
+    def run(page: pa.Table) -> pa.Table:
+        rows = sorted(page.to_pylist(), key=lambda r: (r["extra"], r["box_id"]))
+        return pa.Table.from_pylist(_page(rows, prefer_extra), schema=page.schema).select(names)
+
+    met = first.join(pages, F.col("page") == F.col("_page"), "left_semi").unionByName(second).groupBy("page").applyInArrow(run, MERGED)
+    return alone.unionByName(met)
