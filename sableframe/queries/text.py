@@ -234,4 +234,27 @@ SELECT CASE WHEN c_custkey % 5 = 0 THEN 'miss' WHEN c_custkey % 3 = 0 THEN 'near
 SELECT true_type, found_type, count(*) AS n FROM (
   SELECT event_type AS true_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS found_type FROM events)
 WHERE true_type != found_type GROUP BY ALL ORDER BY n DESC, true_type, found_type LIMIT 10""",
+    "settled_entities": f"""
+WITH s AS (SELECT doc_id, type, text, start, start + length(text) AS past FROM ({_spans_sql(list(e.PATTERNS))})),
+o AS (SELECT *, CASE WHEN start >= coalesce(max(past) OVER (PARTITION BY doc_id ORDER BY start, past ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start) THEN 1 ELSE 0 END AS opens FROM s),
+c AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start, past ROWS UNBOUNDED PRECEDING) AS cluster FROM o),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, cluster ORDER BY past - start, start, type) = 1)
+SELECT doc_id, 'entity_' || (row_number() OVER (PARTITION BY doc_id ORDER BY start, past, type) - 1) AS entity_id, type, text, start FROM b""",
+    "replaced_documents": f"""
+WITH RECURSIVE s AS ({_spans_sql(["EMAIL", "IP_ADDRESS", "BANK_CARD", "PHONE"])}),
+f AS (SELECT doc_id, type, text, min(start) AS first FROM s GROUP BY ALL),
+i AS (SELECT doc_id, text AS original, '<' || type || '_' || lpad((row_number() OVER (PARTITION BY doc_id, type ORDER BY first, text))::VARCHAR, 3, '0') || '>' AS tag FROM f),
+one AS (SELECT doc_id, original, min(tag) AS replacement FROM i GROUP BY ALL),
+g AS (SELECT doc_id, original, replacement, string_split(text, original) AS gaps FROM one JOIN documents USING (doc_id)),
+m AS (SELECT doc_id, original, replacement, CAST(list_sum(list_transform(gaps[:j], lambda x: length(x))) + (j - 1) * length(original) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(gaps))) AS j FROM g)),
+n AS (SELECT doc_id, start, start + length(original) AS stop, replacement, row_number() OVER (PARTITION BY doc_id ORDER BY start, length(original) DESC) AS nth FROM m),
+z AS (
+  SELECT doc_id, nth, start, stop, replacement, stop AS past, TRUE AS keep FROM n WHERE nth = 1
+  UNION ALL SELECT n.doc_id, n.nth, n.start, n.stop, n.replacement, CASE WHEN n.start >= z.past THEN n.stop ELSE z.past END, n.start >= z.past FROM z JOIN n ON n.doc_id = z.doc_id AND n.nth = z.nth + 1),
+k AS (SELECT doc_id, start, stop, replacement, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS low FROM z WHERE keep),
+t AS (SELECT doc_id, text, string_agg(substr(text, low + 1, start - low) || replacement, '' ORDER BY start) || substr(text, max(stop) + 1) AS product, count(*) AS replaced FROM k JOIN documents USING (doc_id) GROUP BY doc_id, text),
+p AS (SELECT d.doc_id, coalesce(product, d.text) AS product, coalesce(replaced, 0) AS replaced FROM documents d LEFT JOIN t USING (doc_id)),
+r AS (SELECT doc_id, count(*) AS residual FROM one JOIN p USING (doc_id) WHERE NOT contains(replacement, original)
+  AND (contains(product, original) OR contains(regexp_replace(product, '\\s+', '', 'g'), regexp_replace(original, '\\s+', '', 'g'))) GROUP BY doc_id)
+SELECT doc_id, replaced, coalesce(residual, 0) AS residual, CAST(length(product) AS INT) AS n_chars FROM p LEFT JOIN r USING (doc_id)""",
 }
