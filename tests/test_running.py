@@ -1,4 +1,4 @@
-"""Ranks and running sums over more rows than range bounds are sampled from."""
+"""Ranks and running sums over rows that come in several partitions."""
 
 from __future__ import annotations
 
@@ -7,8 +7,22 @@ from pyspark.sql import functions as F
 from sableframe.operators.running import ranked, running_sum
 
 
+#: Narrow and wide rows of one shuffle are then read in different numbers of partitions.
+UNEVEN = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}
+
+
 def test_ranks_of_many_rows(spark):
-    n = 400_000
+    before = {k: spark.conf.get(k) for k in UNEVEN}
+    for k, v in UNEVEN.items():
+        spark.conf.set(k, v)
+    try:
+        _ranks(spark, 400_000)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _ranks(spark, n):
     rows = spark.range(n).select(F.col("id"), F.xxhash64("id").alias("x"), (F.col("id") % 3).alias("g"), F.repeat(F.lit("pad"), 5).alias("pad"))
     found = ranked(rows, [], [F.col("x").asc(), F.col("id").asc()], "nth")
     got = found.agg(F.count("*"), F.countDistinct("nth"), F.min("nth"), F.max("nth")).first()
