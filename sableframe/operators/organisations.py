@@ -7,12 +7,19 @@ pattern each, so a name is read once for a list, whatever its length.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import trimmed
-from .entities import subsequence_share
 
 # Endings and words of the rules below, and what stands for a body of a kind.
 PUBLIC_ENDINGS = ("律师事务中心", "法律援助中心", "政务服务中心", "公证处")
@@ -34,6 +41,8 @@ NO_REGION = ("都市", "城市", "商城", "超市", "省城")
 REGION = "^[一-龥]{1,6}?(?:省|自治区|市|县|区|旗|盟|州)"
 POOLS = {"律师事务所": "LAW_FIRM", "医院": "HOSPITAL", "卫生院": "HOSPITAL", "大学": "SCHOOL", "学院": "SCHOOL", "学校": "SCHOOL", "中学": "SCHOOL", "小学": "SCHOOL"}
 ALIAS_LEAST, ALIAS_SHARE = 4, 0.9
+#: Bits for the letters of a name, names looked over at once; names of a document for each task that takes a share of its aliases, and most of such tasks.
+MASK, BLOCK, SHARE_NAMES, MOST_SHARES = 128, 256, 30_000, 16
 ALIAS_EDGES = " ，。；;、()（）[]【】"
 
 
@@ -100,24 +109,101 @@ def compact_name(x: Column) -> Column:
     return F.btrim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", ""), F.lit(ALIAS_EDGES))
 
 
+def _within(short: str, long: str, spare: int) -> bool:
+    """Whether all letters of the first string but `spare` occur in order in the second."""
+    at = 0
+    for c in short:
+        i = long.find(c, at)
+        if i >= 0:
+            at = i + 1
+        elif spare:
+            spare -= 1
+        else:
+            return False
+    return True
+
+
+def _words(masks: list[int]) -> np.ndarray:
+    return np.frombuffer(b"".join(m.to_bytes(MASK // 8, "little") for m in masks), np.uint64).reshape(-1, MASK // 64)
+
+
+def _fulls(names: list[str], keys: list[str], asked: list[bool], least: float) -> Iterator[tuple[str, str]]:
+    """Asked names with the first name, in falling order of length and letters, that holds them.
+
+    Each letter of a name, by how often it came before, sets a bit. Bits of an
+    alias that a name lacks are letters that it misses, so names, and blocks of
+    them by all their bits, that lack more than an alias may miss are passed over.
+    """
+    order = sorted(range(len(names)), key=lambda i: (len(names[i]), names[i]), reverse=True)
+    names, keys, asked = ([x[i] for i in order] for x in (names, keys, asked))
+    sizes = [-len(x) for x in names]
+    spares: dict[int, int] = {}
+    many = len(names) > BLOCK
+    if many:
+        bits: defaultdict[tuple[str, int], int] = defaultdict(lambda: 1 << len(bits) % MASK)
+        masks = []
+        for key in keys:
+            mask, seen = 0, {}
+            for c in key:
+                seen[c] = k = seen.get(c, 0) + 1
+                mask |= bits[c, k]
+            masks.append(mask)
+        rows = _words(masks)
+        blocks = np.bitwise_or.reduceat(rows, np.arange(0, len(rows), BLOCK))
+    for i, key in enumerate(keys):
+        n = len(key)
+        if not asked[i] or n < ALIAS_LEAST:
+            continue
+        if n not in spares:
+            spares[n] = max(m for m in range(n + 1) if (n - m) / n >= least)
+        longer, spare = bisect_left(sizes, sizes[i]), spares[n]
+
+        def near(of: np.ndarray) -> list[int]:
+            return np.flatnonzero(np.bitwise_count(rows[i] & ~of).sum(axis=1, dtype=np.int64) <= spare).tolist()
+
+        if not many:
+            some = iter(range(longer))
+        else:
+            some = (b * BLOCK + j for b in near(blocks[: -(-longer // BLOCK)]) for j in near(rows[b * BLOCK : min(longer, b * BLOCK + BLOCK)]))
+        full = next((j for j in some if _within(key, keys[j], spare)), None)
+        if full is not None:
+            yield names[i], names[full]
+
+
 def alias_links(orgs: DataFrame, least: float = ALIAS_SHARE) -> DataFrame:
     """(doc_id, alias, full): the longest longer name of the document in which an alias stands, letter for letter in order, almost whole.
 
-    Of two names, the longer can only hold the shorter's share if it has enough
-    of its letters. Each name is entered under its letters; an alias looks up
-    only its rarest ones in the document, as many as it may miss and one more, so
-    names that share none of these are never compared.
+    Names are tried from the longest on, so an alias ends its search at the first
+    one that holds it, and names without enough of its letters are never tried.
+    A document of many names is dealt to several tasks by its aliases, at most
+    `MOST_SHARES`; each has all names.
     """
-    names = orgs.select("doc_id", F.col("text").alias("name")).where("name IS NOT NULL").distinct().withColumn("key", compact_name(F.col("name"))).where("key != ''")
-    letters = names.select("doc_id", "name", "key", F.explode(F.array_distinct(F.regexp_extract_all("key", F.lit("(?s)."), F.lit(0)))).alias("letter"))
-    common = F.count("*").over(Window.partitionBy("doc_id", "letter"))
-    counted = letters.withColumn("n", common)
-    # at most so many letters of an alias may be missing; of one more distinct ones at least one is there
-    n = F.char_length("key")
-    spare = n - F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int") + 1
-    rare = Window.partitionBy("doc_id", "name").orderBy("n", "letter")
-    asked = counted.withColumn("nth", F.row_number().over(rare)).where((n >= ALIAS_LEAST) & (F.col("nth") <= spare)).select("doc_id", F.col("name").alias("alias"), F.col("key").alias("short"), "letter")
-    pairs = asked.join(counted.select("doc_id", F.col("name").alias("full"), F.col("key").alias("long"), "letter"), ["doc_id", "letter"])
-    pairs = pairs.where(F.char_length("full") > F.char_length("alias")).select("doc_id", "alias", "short", "full", "long").distinct()
-    good = pairs.where(F.col("long").contains(F.col("short")) | (subsequence_share(F.col("short"), F.col("long")) >= least))
-    return good.groupBy("doc_id", "alias").agg(F.max(F.struct(F.char_length("full").alias("n"), "full"))["full"].alias("full"))
+    names = orgs.select("doc_id", F.col("text").alias("name")).where("doc_id IS NOT NULL AND name IS NOT NULL").distinct().withColumn("key", compact_name(F.col("name"))).where("key != ''")
+    shares = F.least(F.ceil(F.count("*").over(Window.partitionBy("doc_id")) / SHARE_NAMES), F.lit(MOST_SHARES)).cast("int")
+    dealt = names.withColumn("of", shares).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    dealt = dealt.select("doc_id", "share", "name", "key", (F.pmod(F.xxhash64("name"), "of") == F.col("share")).alias("asked"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["doc_id", "alias", "full"])
+
+        kinds, found = [kind, pa.string(), pa.string()], []
+        for (doc_id, _), group in groupby(rows(), key=lambda r: r[:2]):
+            _, _, *own = zip(*group, strict=True)
+            for alias, full in _fulls(*own, least) if len(own[0]) > 1 else ():
+                found.append((doc_id, alias, full))
+                if len(found) >= 10_000:
+                    yield out()
+                    found.clear()
+        if found:
+            yield out()
+
+    kind = to_arrow_type(orgs.schema["doc_id"].dataType)
+    schema = StructType([orgs.schema["doc_id"], StructField("alias", StringType()), StructField("full", StringType())])
+    # with a fixed number of tasks: the table is small for the work that it makes, so it isn't put together again
+    parts = int(orgs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "doc_id", "share").sortWithinPartitions("doc_id", "share").mapInArrow(linked, schema)
