@@ -72,3 +72,26 @@ def test_leaks_across_broken_words(spark, short):
     want = {(d, i) for d, p in docs for i, o in items if len(form(o)) >= 4 and form(o) in form(p)}
     found = leaks(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), short=short).collect()
     assert len(found) == len(want) == 12 and {tuple(r) for r in found} == want
+
+
+def test_leaks_by_letters_as_in_sql(spark, duck):
+    from sableframe.operators.evaluate import leaks
+    from sableframe.queries.text import _STRONG
+
+    items = [(1, "sabcdefg"), (2, "aßb"), (3, "Strasse am Ring"), (4, "ﬁnde ŉᾳ"), (5, "STRAẞE"), (6, "inde")]
+    docs = [(1, "xßabcdefg"), (2, "aßb ASSB"), (3, "die straße am ring"), (4, "FINDE ʼNᾼ"), (5, "ﬁNDE ŉᾳ"), (6, "straße"), (7, "strasse am ring")]
+    found = leaks(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    form = {x: duck.execute(f"SELECT {_STRONG.format(x='$1')}", [x]).fetchone()[0] for _, x in items + docs}
+    want = {(d, i) for d, p in docs for i, o in items if len(form[o]) >= 4 and form[o] in form[p]}
+    assert len(want) == 5 and {tuple(r) for r in found} == want
+
+
+def test_capitals_as_in_sql(spark, duck):
+    from pyspark.sql import functions as F
+
+    from sableframe.functions.text import capitals
+
+    letters = [chr(i) for i in range(1, 0x1E944) if not 0xD800 <= i < 0xE000 and (chr(i).upper() != chr(i) or len(chr(i).upper()) > 1)]
+    found = dict(spark.createDataFrame([(x,) for x in letters], "x string").select("x", capitals(F.col("x"))).collect())
+    want = dict(duck.execute("SELECT x, upper(x) FROM (SELECT unnest($1) AS x)", [letters]).fetchall())
+    assert {x: found[x] for x in letters if found[x] != want[x]} == {}
