@@ -14,9 +14,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .entities import SOURCE_RANK, TYPE_PRIORITY, lookup, settled, spans, without_overlaps
 from .organisations import alias_links
@@ -42,7 +44,7 @@ def lines_of(text: str, longest: int | None) -> Iterator[str]:
         paragraph = paragraph.strip()
         long = longest is not None and len(paragraph) > 2 * longest
         for part in re.split(r"(?<=[。；;])\s*", paragraph) if long else (paragraph,):
-            if line := re.sub(r"\s+", " ", part).strip():
+            if line := " ".join(part.split()):
                 yield line
 
 
@@ -96,24 +98,46 @@ def in_document(found: DataFrame, parts: DataFrame, docs: DataFrame, longest: in
     A line's place gives the offset. If the document reads otherwise there (it
     has other white space), the span goes to its first occurrence near one of the
     chunk's lines, then anywhere; else it keeps its offsets, to be checked later.
+    A line with a place reads in the document as in the chunk, so a span inside
+    one needs the chunk alone; a document's text is joined once for all others.
     """
     rows = found.alias("e").join(parts.select("doc_id", "chunk", F.col("text").alias("_chunk"), "starts", "offsets"), ["doc_id", "chunk"])
-    rows = rows.join(docs.select("doc_id", F.col("text").alias("_full")), "doc_id")
     n, local = F.char_length("text"), F.col("start").cast("int")
-    line = F.size(F.filter("starts", lambda s: s <= local)) - 1
-    guess = F.get("offsets", line) + local - F.get("starts", line)
-    fits = (local > 0) & (local < F.char_length("_chunk")) & (F.get("offsets", line) >= 0) & (F.substring(F.col("_full"), guess + 1, n) == F.col("text"))
+    rows = rows.where(n > 0).withColumn("_line", F.size(F.filter("starts", lambda s: s <= local)) - 1)
+    guess = F.get("offsets", F.col("_line")) + local - F.get("starts", F.col("_line"))
+    until = F.coalesce(F.get("starts", F.col("_line") + 1) - 1, F.char_length("_chunk"))
+    placed = (local >= 0) & (local < F.char_length("_chunk")) & (F.get("offsets", F.col("_line")) >= 0)
+    sure = F.coalesce(placed & (local + n <= until) & (F.substring(F.col("_chunk"), local + 1, n) == F.col("text")), F.lit(False))
+    one = F.struct(
+        "type", "text", "start", "end", F.col("confidence").cast("double").alias("confidence"), F.when(sure, guess).alias("sure"), F.when(placed & (local > 0), guess).alias("guess"),
+        F.when(~sure, F.col("offsets")).alias("offsets"),
+    )
+    both = rows.groupBy("doc_id").agg(F.collect_list(one).alias("_all")).join(docs.select("doc_id", F.col("text").alias("_full")), "doc_id")
+    full = F.col("_full")
+
+    def place(x: Column) -> Column:
+        size = F.char_length(x["text"])
+
+        def near(o: Column) -> Column:
+            room = F.substring(full, o + 1, size + longest) if longest is not None else F.substring(full, o + 1, F.char_length(full))
+            at = F.position(x["text"], room)
+            return F.when((o >= 0) & (at > 0), o + at - 1)
+
+        fits, anywhere = F.substring(full, x["guess"] + 1, size) == x["text"], F.position(x["text"], full)
+        sought = F.coalesce(F.get(F.filter(F.transform(x["offsets"], near), lambda o: o.isNotNull()), F.lit(0)), F.when(anywhere > 0, anywhere - 1))
+        return F.when(x["sure"].isNotNull(), x["sure"]).when(x["guess"].isNotNull() & fits, x["guess"]).otherwise(sought)
+
+    # not in the row that the text is in, or it would be copied for each span
+    done = both.select("doc_id", F.transform("_all", lambda x: F.struct(*(x[k].alias(k) for k in ("type", "text", "start", "end", "confidence")), place(x).alias("at"))).alias("_all"))
+    rows = done.select("doc_id", F.explode("_all").alias("x")).select("doc_id", "x.*")
+    start, end = F.coalesce("at", "start").cast("long"), F.when(F.col("at").isNull(), F.col("end")).otherwise(F.col("at") + n).cast("long")
+    return rows.select("doc_id", "type", "text", start.alias("start"), end.alias("end"), F.lit("model").alias("source"), "confidence")
 
-    def near(o: Column) -> Column:
-        room = F.substring(F.col("_full"), o + 1, n + longest) if longest is not None else F.substring(F.col("_full"), o + 1, F.char_length("_full"))
-        at = F.position(F.col("text"), room)
-        return F.when((o >= 0) & (at > 0), o + at - 1)
 
-    anywhere = F.position(F.col("text"), F.col("_full"))
-    place = F.when(fits, guess).otherwise(F.coalesce(F.get(F.filter(F.transform("offsets", near), lambda x: x.isNotNull()), F.lit(0)), F.when(anywhere > 0, anywhere - 1)))
-    rows = rows.where(n > 0).withColumn("_at", place)
-    start, end = F.coalesce("_at", "start").cast("long"), F.when(F.col("_at").isNull(), F.col("end")).otherwise(F.col("_at") + n).cast("long")
-    return rows.select("doc_id", "type", "text", start.alias("start"), end.alias("end"), F.lit("model").alias("source"), F.col("confidence").cast("double").alias("confidence"))
+@F.pandas_udf(ArrayType(StringType()))
+def pieces(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """What stands at [start, end) of a text, for arrays of offsets; null where these don't fit in it. A substring would count from the text's start each time."""
+    return pd.Series([None if t is None or s is None else [t[a:b] if 0 <= a <= b <= len(t) else None for a, b in zip(s, e, strict=True)] for t, s, e in zip(text, starts, ends, strict=True)])
 
 
 def _tight(kind: str, value: str, start: int, text: str) -> tuple[str, int]:
@@ -154,22 +178,24 @@ def validated(found: DataFrame, docs: DataFrame) -> DataFrame:
 
     Only documents with a span out of place go through the fold.
     """
-    full = docs.select("doc_id", F.col("text").alias("_full"))
-    rows = found.join(full, "doc_id")
-    start, end = F.col("start").cast("int"), F.col("end").cast("int")
-    good = (start >= 0) & (start < end) & (end <= F.char_length("_full")) & (F.substring(F.col("_full"), start + 1, end - start) == F.col("text"))
-    bad = rows.where(~F.coalesce(good, F.lit(False))).select(F.col("doc_id").alias("_bad")).distinct()
-    right = rows.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
-    edges = F.lit(EDGES)
-    cut = F.btrim("text", edges)
+    edges, start = F.lit(EDGES), F.col("start").cast("int")
     first = start + F.char_length("text") - F.char_length(F.ltrim("text", edges))
-    before = F.substring(F.col("_full"), first, 1)
+    one = F.struct("type", "text", "source", "confidence", F.coalesce(start, F.lit(-1)).alias("start"), F.coalesce(F.col("end").cast("int"), F.lit(-1)).alias("end"), F.coalesce(first, F.lit(-1)).alias("first"))
+    whole = found.groupBy("doc_id").agg(F.collect_list(one).alias("_all")).join(docs.select("doc_id", F.col("text").alias("_full")), "doc_id")
+    here = pieces(F.col("_full"), F.col("_all.start"), F.col("_all.end"))
+    before = pieces(F.col("_full"), F.transform("_all.first", lambda x: x - 1), F.col("_all.first"))
+    both = whole.select("doc_id", F.col("_all"), here.alias("_here"), before.alias("_before"))
+    good = F.zip_with("_all", "_here", lambda x, h: (x["start"] < x["end"]) & F.coalesce(h == x["text"], F.lit(False)))
+    both = kept(both.select("doc_id", F.exists(good, lambda g: ~g).alias("_wrong"), F.zip_with("_all", "_before", lambda x, b: F.struct(x.alias("x"), b.alias("before"))).alias("_all")))
+    rows = both.select("doc_id", "_wrong", F.explode("_all").alias("y")).select("doc_id", "_wrong", "y.x.*", "y.before")
+    cut, first, before = F.btrim("text", edges), F.col("first"), F.col("before")
     wide = F.col("type").isin(*BRACKETED) & (first > 0) & before.isin("（", "(") & cut.rlike("[）)]")
-    right = right.select(
+    right = rows.where("NOT _wrong").select(
         "doc_id", "type", F.when(wide, F.concat(before, cut)).otherwise(cut).alias("text"), (first - wide.cast("int")).cast("long").alias("start"),
         (first + F.char_length(cut)).cast("long").alias("end"), "source", "confidence",
     )
-    wrong = found.join(bad, F.col("doc_id") == F.col("_bad"), "left_semi")
+    bad = both.where("_wrong").select(F.col("doc_id").alias("_bad"))
+    wrong = rows.where("_wrong").select("doc_id", "type", "text", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "source", "confidence")
     texts = docs.select("doc_id", "text").join(bad, F.col("doc_id") == F.col("_bad"), "left_semi")
     moved = wrong.groupBy("doc_id").cogroup(texts.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).groupBy("doc_id")).applyInArrow(_places, FOUND)
     return right.unionByName(moved).where(F.char_length("text") > 0)
@@ -249,12 +275,12 @@ def recognised(
     by_pattern = spans(docs, patterns)
     found = by_pattern
     if model is not None:
-        parts = chunks(docs, budget, longest, most)
-        # kept, so that the model is called once for a chunk
+        # both kept, so that a text is cut once and the model called once for a chunk
+        parts = kept(chunks(docs, budget, longest, most))
         by_model = kept(in_document(model(parts.select("doc_id", "chunk", "text")), parts, docs, longest))
         by_model = by_model.where(F.col("type").isin(*enabled)) if enabled is not None else by_model
         found = by_model.unionByName(without_overlaps(by_pattern, by_model))
-    chosen = kept(settled(one_of_span(validated(kept(found), docs))))
+    chosen = kept(settled(one_of_span(validated(found, docs))))
     both = chosen.withColumn("propagated", F.lit(False)).unionByName(repeats(chosen, docs).withColumn("propagated", F.lit(True)))
     order = Window.partitionBy("doc_id").orderBy("start", "end", "type")
     return referred(both).withColumn("entity_id", F.concat(F.lit("entity_"), (F.row_number().over(order) - 1).cast("string")))

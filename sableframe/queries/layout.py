@@ -15,7 +15,7 @@ from ..operators import organisations as o
 from ..operators import recognition as r
 from ..operators import runs as s
 from ..operators import validation as v
-from ..operators.running import shared_folder
+from ..operators.running import kept, shared_folder
 from ..streaming import export as x
 from ..operators import tables as t
 from .tabular import load
@@ -83,11 +83,11 @@ def names_model(parts: DataFrame) -> DataFrame:
 def chunk_spans(spark: SparkSession, d: str) -> DataFrame:
     """Names found in chunks, each at its place in the document and with the text that stands there."""
     docs = load(spark, d, "documents")
-    parts = r.chunks(docs, longest=None, most=None)
+    parts = kept(r.chunks(docs, longest=None, most=None))
     found = r.in_document(names_model(parts), parts, docs, None)
-    at = docs.select("doc_id", F.col("text").alias("full"))
-    there = F.substring(F.col("full"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    return found.join(at, "doc_id").select("doc_id", "type", "start", "end", there.alias("text"))
+    own = found.groupBy("doc_id").agg(F.collect_list(F.struct("type", "start", "end")).alias("all")).join(docs.select("doc_id", F.col("text").alias("full")), "doc_id")
+    there = own.select("doc_id", "all", r.pieces(F.col("full"), F.col("all.start"), F.col("all.end")).alias("there"))
+    return there.select("doc_id", F.explode(F.arrays_zip("all", "there")).alias("x")).select("doc_id", "x.all.*", F.col("x.there").alias("text"))
 
 
 def recognised_entities(spark: SparkSession, d: str) -> DataFrame:

@@ -33,3 +33,16 @@ def test_runs_of_a_long_text(spark, long_texts):
     q.styled_runs(spark, short).count()
     few, one = (timed(q.styled_runs(spark, d)) for d in long_texts)
     assert one < 6 * few + 3
+
+
+def test_spans_of_a_long_text(spark, long_texts):
+    from sableframe.operators import recognition as r
+
+    short, long = long_texts
+    q.chunk_spans(spark, short).count()
+    few, one = (timed(q.chunk_spans(spark, d)) for d in long_texts)
+    assert one < 6 * few + 3
+    docs = spark.createDataFrame([(1, "Anna berry, (12) x é Anna"), (2, "b")], "doc_id long, text string")
+    spans = [(1, "PERSON", "Anna berry,", 0, 11), (1, "CASE_NUMBER", "12)", 13, 16), (2, "PERSON", "b", 7, 8), (2, "PERSON", "zz", None, None)]
+    found = spark.createDataFrame([(*x, "model", 0.5) for x in spans], r.FOUND)
+    assert {tuple(x)[:5] for x in r.validated(found, docs).collect()} == {(1, "PERSON", "Anna berry", 0, 10), (1, "CASE_NUMBER", "(12)", 12, 16), (2, "PERSON", "b", 0, 1)}
