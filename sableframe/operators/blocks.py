@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import amount_signature, compact, isolated, let, trimmed, without_math_markup
+from .running import kept
 
 # Shortest value of a type that may be a part of a longer word, units that aren't money, numerals of amounts.
 SHORTEST, SHORTEST_ELSE = {"PERSON": 2, "ORG": 2, "ADDRESS": 4}, 2
@@ -62,8 +63,8 @@ def searchable(values: DataFrame) -> DataFrame:
 
 
 def lined_up(blocks: DataFrame) -> DataFrame:
-    """doc_id, pos, text and `at`: the block's place among those that aren't tables."""
-    plain = blocks.where(~F.coalesce(F.col("text"), F.lit("")).startswith("<table")).select("doc_id", "pos", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, pos, text, `tight` (without white space) and `at`: the block's place among those that aren't tables."""
+    plain = blocks.where(~F.coalesce(F.col("text"), F.lit("")).startswith("<table")).select("doc_id", "pos", F.coalesce("text", F.lit("")).alias("text")).withColumn("tight", compact(F.col("text")))
     return plain.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
 
 
@@ -73,10 +74,10 @@ def _runs(values: DataFrame, blocks: DataFrame) -> DataFrame:
     Each part meets the blocks that fit it. Fits of one run lie on a diagonal:
     the block's place less the part's number is the same for all of them.
     """
-    part = values.select("doc_id", "type", "value", F.size("parts").alias("of"), F.posexplode("parts").alias("k", "part")).alias("v")
+    part = values.select("doc_id", "type", "value", F.size("parts").alias("of"), F.posexplode("parts").alias("k", "part"))
     first, last = F.col("k") == 0, F.col("k") == F.col("of") - 1
-    fits = F.when(first, F.col("text").endswith(F.col("part"))).when(last, F.col("text").startswith(F.col("part"))).otherwise(compact(F.col("text")) == compact(F.col("part")))
-    found = part.join(blocks.alias("b"), "doc_id").where(fits).select("doc_id", "type", "value", "of", "k", "part", "pos", "text", (F.col("at") - F.col("k")).alias("diagonal"))
+    fits = F.when(first, F.col("text").endswith(F.col("part"))).when(last, F.col("text").startswith(F.col("part"))).otherwise(F.col("tight") == F.col("packed"))
+    found = part.withColumn("packed", compact(F.col("part"))).alias("v").join(blocks.alias("b"), "doc_id").where(fits).select("doc_id", "type", "value", "of", "k", "part", "pos", "text", (F.col("at") - F.col("k")).alias("diagonal"))
     whole = Window.partitionBy("doc_id", "type", "value", "diagonal")
     start = F.when(F.col("k") == 0, F.char_length("text") - F.char_length("part")).when(F.col("k") == F.col("of") - 1, 0).otherwise(F.greatest(F.lit(0), F.position(F.col("part"), F.col("text")) - 1))
     done = found.withColumn("n", F.count("*").over(whole)).where(F.col("n") == F.col("of")).withColumn("start", start.cast("int"))
@@ -91,7 +92,7 @@ def over_breaks(values: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def inside(values: DataFrame, blocks: DataFrame) -> DataFrame:
     """Values inside single blocks, exact or with other white space; short ones only where they stand alone."""
-    pairs = values.join(blocks.drop("at"), "doc_id").where(compact(F.col("text")).contains(compact(F.col("value"))))
+    pairs = values.withColumn("packed", compact(F.col("value"))).join(blocks.drop("at"), "doc_id").where(F.col("tight").contains(F.col("packed")))
     exact = F.col("text").contains(F.col("value"))
     found = F.when(exact, places(F.col("text"), quoted(F.col("value")))).when(~F.col("strict"), places(F.col("text"), spaced(F.col("value"))))
     each = pairs.withColumn("how", F.when(exact, F.lit("exact")).otherwise(F.lit("spaced"))).withColumn("x", F.explode(found)).withColumn("start", F.col("x.start")).withColumn("end", F.col("x.end"))
@@ -104,8 +105,8 @@ def inside(values: DataFrame, blocks: DataFrame) -> DataFrame:
 def same_amounts(values: DataFrame, blocks: DataFrame) -> DataFrame:
     """Blocks whose number is that of an amount in another form."""
     sums = values.where("type = 'AMOUNT'").withColumn("sum", amount_signature(compact(F.col("value")))).where("sum != ''")
-    known = blocks.drop("at").withColumn("sum", amount_signature(compact(F.col("text")))).withColumn("unit", F.regexp_extract(compact(F.col("text")), r"\d(\D)\D*$", 1))
-    same = sums.join(known, ["doc_id", "sum"]).where(((F.col("unit") == "") | ~F.contains(F.lit(NOT_MONEY), F.col("unit"))) & ~compact(F.col("text")).contains(compact(F.col("value"))))
+    known = blocks.drop("at").where(F.col("tight").rlike(r"\d")).withColumn("sum", amount_signature(F.col("tight"))).withColumn("unit", F.regexp_extract("tight", r"\d(\D)\D*$", 1))
+    same = sums.join(known, ["doc_id", "sum"]).where(((F.col("unit") == "") | ~F.contains(F.lit(NOT_MONEY), F.col("unit"))) & ~F.col("tight").contains(compact(F.col("value"))))
     return same.select("doc_id", "type", "value", "pos", F.lit(0).alias("start"), F.char_length("text").cast("int").alias("end"), "text", F.lit("amount").alias("how"))
 
 
@@ -142,15 +143,18 @@ def over_lost_breaks(values: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def located(values: DataFrame, blocks: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """doc_id, type, value, pos, start, end, text, how: all places of the values, by the first way that finds them."""
-    key, known, rows = ["doc_id", "type", "value"], searchable(values), lined_up(blocks)
-    wrapped = over_breaks(known, rows)
+    """doc_id, type, value, pos, start, end, text, how: all places of the values, by the first way that finds them.
+
+    Values, blocks and what a way finds are kept, as each further way starts from them.
+    """
+    key, known, rows = ["doc_id", "type", "value"], kept(searchable(values)), kept(lined_up(blocks))
+    wrapped = kept(over_breaks(known, rows))
     rest = known.join(wrapped.select(key).distinct(), key, "left_anti")
-    within = inside(rest, rows).unionByName(same_amounts(rest, rows))
+    within = kept(inside(rest, rows).unionByName(same_amounts(rest, rows)))
     rest = rest.join(within.select(key).distinct(), key, "left_anti")
     found = wrapped.unionByName(within)
     if fuzzy:
-        near = alike(rest, rows)
+        near = kept(alike(rest, rows))
         rest, found = rest.join(near.select(key), key, "left_anti"), found.unionByName(near)
     return found.unionByName(over_lost_breaks(rest, rows))
 

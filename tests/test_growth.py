@@ -42,7 +42,27 @@ def test_spans_of_a_long_text(spark, long_texts):
     q.chunk_spans(spark, short).count()
     few, one = (timed(q.chunk_spans(spark, d)) for d in long_texts)
     assert one < 6 * few + 3
-    docs = spark.createDataFrame([(1, "Anna berry, (12) x é Anna"), (2, "b")], "doc_id long, text string")
-    spans = [(1, "PERSON", "Anna berry,", 0, 11), (1, "CASE_NUMBER", "12)", 13, 16), (2, "PERSON", "b", 7, 8), (2, "PERSON", "zz", None, None)]
+    docs = spark.createDataFrame([(1, "Anna berry, (12)号 x é Anna"), (2, "b")], "doc_id long, text string")
+    spans = [(1, "PERSON", "Anna berry,", 0, 11), (1, "CASE_NUMBER", "12)号", 13, 17), (2, "PERSON", "b", 7, 8), (2, "PERSON", "zz", None, None)]
     found = spark.createDataFrame([(*x, "model", 0.5) for x in spans], r.FOUND)
-    assert {tuple(x)[:5] for x in r.validated(found, docs).collect()} == {(1, "PERSON", "Anna berry", 0, 10), (1, "CASE_NUMBER", "(12)", 12, 16), (2, "PERSON", "b", 0, 1)}
+    assert {tuple(x)[:5] for x in r.validated(found, docs).collect()} == {(1, "PERSON", "Anna berry", 0, 10), (1, "CASE_NUMBER", "(12)号", 12, 17), (2, "PERSON", "b", 0, 1)}
+
+
+def test_values_and_blocks_are_made_once(spark):
+    from sableframe.operators import blocks as b
+
+    made = {x: spark.sparkContext.accumulator(0) for x in ("values", "blocks")}
+
+    def counted(df, seen):
+        def run(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        return df.mapInPandas(run, df.schema)
+
+    values = spark.createDataFrame([(1, "ORG", "two\nthree"), (1, "NO", "12 3"), (2, "T", "abcdef"), (2, "T", "nowhere")], "doc_id long, type string, value string")
+    blocks = spark.createDataFrame([(1, 0, "one two"), (1, 1, "three 123"), (2, 0, "xabc"), (2, 1, "def")], "doc_id long, pos int, text string")
+    found = b.located(counted(values, made["values"]), counted(blocks, made["blocks"])).collect()
+    assert sorted((x["value"], x["how"], x["pos"]) for x in found) == [("12 3", "spaced", 1), ("abcdef", "cut", 0), ("abcdef", "cut", 1), ("two\nthree", "wrapped", 0), ("two\nthree", "wrapped", 1)]
+    assert (made["values"].value, made["blocks"].value) == (4, 4)
