@@ -159,3 +159,16 @@ def test_pareto_chances(spark):
         words = sum(s * 40 for s in (3, 16, 29))
         rate = target / sum(s.bit_length() * s * 40 for s in (3, 16, 29))
         assert abs(mean - rate * size.bit_length()) < 0.2, (target / words, size, mean)
+
+
+def test_lm_starts_from_all_training_texts(spark):
+    import numpy as np
+
+    from sableframe.llm import lm_scoring as lm
+    from sableframe.llm.common import crc_mod
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} and other{i % 11} things {'so ' * (i % 5)}") for i in range(5000)], "doc_id long, text string")
+    model, _ = lm.fit(docs)
+    found, model.start = model.start, lm.Start()
+    want = lm.trained_start(docs.where(crc_mod(docs["doc_id"], lm.FOLDS) != lm.HELD_OUT), model)
+    assert np.array_equal(found.weights, want.weights) and np.array_equal(found.refine, want.refine)
