@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -418,6 +419,38 @@ def test_lm_mixing_bit_by_bit(spark):
     assert np.bincount(model.book.leaf, weights=np.exp(model.book.below)) == pytest.approx(1)
 
 
+def small_book(n):
+    words = [lm_scoring.END, *(f"w{i}" for i in range(n))]
+    return lm_scoring.Codebook(words, np.arange(n + 2, 0, -1), 1, 1)
+
+
+def test_lm_lookup_and_words_as_arrays():
+    book = small_book(30_000)
+    text = "W5 never w29999  é漢字 w30000 w0 w5".split(" ")
+    tokens = lm_scoring.Tokens.of([" ".join(text).encode(), b"", b"w7"])
+    plain = [x.lower() for x in text if x] + ["w7"]
+    assert tokens.words(np.arange(len(plain))).to_pylist() == plain
+    assert tokens.words(np.array([4, 0, 4])).to_pylist() == ["w30000", "w5", "w30000"] and len(tokens.words(np.zeros(0, np.int64))) == 0
+    assert [book.words[i] if i < book.escape else None for i in book.lookup(tokens.hashes)] == [x if x in set(book.words) else None for x in plain]
+    assert (book.lookup(lm_scoring.word_hash(book.words[1:])) == np.arange(1, 30_001)).all()  # some share their first bits
+    assert (book.lookup(np.array([0, 2**64 - 1], np.uint64)) == book.escape).all()
+
+
+def test_lm_mixing_holds_no_more_than_the_bits():
+    book = small_book(1_000)
+    texts = [b"w7"] * 20_000 + [b"w3 w900 " * 400]
+    w = lm_scoring.Words.of(texts, book)
+    bits = lm_scoring.bits_of(w, len(texts), book, np.zeros(len(w.at), bool))
+    tables = [np.zeros((rows + 1) * lm_scoring.NODES, np.int8) for rows in lm_scoring.WORD_ROWS]
+    tracemalloc.start()
+    found, _ = lm_scoring.mixed_bits(bits, tables, lm_scoring.Start())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(found[:20_000].tolist())) == 1 and found[-1] < found[0] < 0
+    # A lane keeps what it learns, 1.5 KB, not a place for each bit of the longest lane.
+    assert peak < 4_000 * len(bits.lane_text) + 64 * len(bits.bit)
+
+
 def test_lm_gains_with_the_corpus(spark, data):
     docs = common.table(spark, data, "documents")
     model, counts = lm_scoring.fit(docs)
