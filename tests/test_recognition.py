@@ -153,6 +153,12 @@ def test_recognition_equals_the_plain_version(spark, data):
     assert all(texts[f["doc_id"]][f["start"] : f["end"]] == f["text"] for f in found)
 
 
+def test_short_names_are_compared_without_white_space(spark):
+    docs = spark.createDataFrame([(1, "The aning. Thenan ingor."), (2, "The aning. Thexan isgor.")], "doc_id long, text string")
+    found = r.recognised(docs, model).where("type = 'ORG'").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("coref_id").alias("refs")).collect()
+    assert sorted(map(tuple, found)) == [(1, 2, 1), (2, 2, 2)]
+
+
 def test_chunks_equal_the_plain_version(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(TEXTS, "doc_id long, text string"))
     for budget, longest, most in ((1600, 320, 12), (90, 40, 3)):
